@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, consistent, terms
+from lectern.llm import bpe, consistent, sentences, terms
 from lectern.session import table
 
 try:
@@ -39,6 +39,11 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), bpe.read_vocabulary(f"{FOLDER}/byte_bpe_50k.tiktoken"))
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return sentences.split_sentences(documents, sentences.fit(documents))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
