@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, consistent, sentences, terms
+from lectern.llm import bpe, consistent, encoding, sentences, terms
 from lectern.session import table
 
 try:
@@ -31,6 +31,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.own_terms(p2_scores(spark, folder))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p3_restored(spark, folder).select("source_id", "para_id").distinct()
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.garbled_paragraphs(table(spark, folder, "sources"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return consistent.look_alike_pairs(table(spark, folder, "units"), table(spark, folder, "index_entries"), "unit_id", "text", "entry_id", "body")
 
