@@ -295,6 +295,11 @@ def signs(word: str) -> int:
     return len(word) - len(stripped(word))
 
 
+def words_of(text: str) -> list[str]:
+    """Words with characters beyond ASCII, and longer stretches of these within words that mix scripts."""
+    return sorted({w for w in WORD.findall(text) if not w.isascii()} | {x for x in STRETCH.findall(text) if len(x) >= 3})
+
+
 def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int = 3) -> DataFrame:
     """(text, votes, changed) of texts with words that a transformation other than from UTF-8 explains.
 
@@ -306,7 +311,7 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(t, w) for t in b.column(0).to_pylist() for w in sorted(set(WORD.findall(t))) if not w.isascii()]
+            rows = [(t, w) for t in b.column(0).to_pylist() for w in words_of(t)]
             yield _spell(b, rows, [("text", S), ("word", S)])
 
     def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +348,12 @@ def undo_words(text: str, votes: list[dict]) -> str:
         for x in v["by"]:
             weights[x] = weights.get(x, 0) + v["size"]
     was, _, read_as = min(weights, key=lambda x: (-weights[x], x)).partition("|")
-    return WORD.sub(lambda m: m.group() if m.group().isascii() else undo(m.group(), was, read_as) or m.group(), text)
+
+    def part(m: re.Match) -> str:
+        w = m.group()
+        return w if w.isascii() else undo(w, was, read_as) or STRETCH.sub(lambda x: undo(x.group(), was, read_as) or x.group(), w)
+
+    return WORD.sub(part, text)
 
 
 def changed(text: str, out: str) -> int:
