@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, consistent, encoding, sentences, terms
+from lectern.llm import bpe, consistent, encoding, packing, sentences, terms
 from lectern.session import table
 
 try:
@@ -47,6 +47,10 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), bpe.read_vocabulary(f"{FOLDER}/byte_bpe_50k.tiktoken"))
 
 
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "reading_windows"), FOLDER)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return sentences.split_sentences(documents, sentences.fit(documents))
