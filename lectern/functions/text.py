@@ -44,19 +44,19 @@ def token_list(text: str, indexing: bool = True) -> list[str]:
 @F.pandas_udf(T.StringType())
 def normal_form(texts: pd.Series) -> pd.Series:
     """``normal`` as a column function; null stays null."""
-    return texts.map(normal, na_action="ignore")
+    return pd.Series([normal(x) if isinstance(x, str) else None for x in texts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def index_tokens(texts: pd.Series) -> pd.Series:
     """Tokens of a text to be indexed; none for null."""
-    return texts.map(lambda x: token_list(x) if isinstance(x, str) else [])
+    return pd.Series([token_list(x) if isinstance(x, str) else [] for x in texts], dtype=object)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def query_tokens(texts: pd.Series) -> pd.Series:
     """Tokens of a query."""
-    return texts.map(lambda x: token_list(x, False) if isinstance(x, str) else [])
+    return pd.Series([token_list(x, False) if isinstance(x, str) else [] for x in texts], dtype=object)
 
 
 def lines(text: Column) -> Column:
