@@ -147,7 +147,7 @@ S = pa.string()
 
 
 def twins(texts: DataFrame) -> DataFrame:
-    """(variant, usual): variants of a stripped text, each with the most frequent one of its key."""
+    """(variant, usual, rarer): variants of a stripped text, each with the most frequent one of its key."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,9 +156,9 @@ def twins(texts: DataFrame) -> DataFrame:
 
     found = texts.mapInArrow(keys, "key string, variant string").groupBy("key", "variant").agg(F.count("*").alias("n"))
     found = materialize(found, "twins")
-    usual = found.groupBy("key").agg(F.max(F.struct("n", "variant")).alias("top"), F.count("*").alias("variants")).where("variants > 1 and top.n > 1")
+    usual = found.groupBy("key").agg(F.max(F.struct("n", "variant")).alias("top"), F.count("*").alias("variants")).where("variants > 1")
     joined = found.join(usual.select("key", F.col("top.n").alias("most"), F.col("top.variant").alias("usual")), "key")
-    return joined.where((F.col("variant") != F.col("usual")) & (F.col("n") < F.col("most"))).select("variant", "usual").distinct()
+    return joined.where(F.col("variant") != F.col("usual")).groupBy("variant", "usual").agg(F.bool_or(F.col("n") < F.col("most")).alias("rarer"))
 
 
 def learn(texts: DataFrame, least: int = 3) -> list[tuple[str, str]]:
@@ -169,8 +169,13 @@ def learn(texts: DataFrame, least: int = 3) -> list[tuple[str, str]]:
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = {p for v, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if sound(u) for p in align(v, u)}
-            rows = [(was, read_as, x, y) for x, y in pairs if LOST not in x for was, read_as in explain(x, y)]
+            pairs = set()
+            for v, u, rarer in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if sound(u):
+                    pairs |= {(x, y, rarer) for x, y in align(v, u)}
+                elif sound(v):  # the garbled one may be the usual one; what was UTF-8 shows that itself
+                    pairs |= {(x, y, False) for x, y in align(u, v)}
+            rows = [(was, read_as, x, y) for x, y, rarer in pairs if LOST not in x for was, read_as in explain(x, y) if rarer or was == "utf-8"]
             yield _spell(b, rows, [("was", S), ("read_as", S), ("garbled", S), ("clean", S)])
 
     seen = twins(texts).mapInArrow(infer, "was string, read_as string, garbled string, clean string").distinct()

@@ -401,7 +401,7 @@ def stripped(texts: list[str], rng: random.Random) -> list[list[tuple[Place, boo
     return [x for x in out if x]
 
 
-def train(texts: list[str], epochs: int = 6, seed: int = 7) -> Model:
+def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
     """An averaged structured perceptron over the tagged sample; the same sample gives the same model."""
     rng = random.Random(seed)
     chains = []

@@ -43,7 +43,7 @@ def term_of(text: str) -> str:
 def term_form(terms: pd.Series) -> pd.Series:
     """``term_of`` as a column function; null stays null. Repeated terms of a batch are formed once."""
     forms = {x: term_of(x) for x in terms.dropna().unique()}
-    return terms.map(forms)
+    return pd.Series([forms.get(x) for x in terms], dtype=object)
 
 
 def posting_counts(shards: DataFrame) -> DataFrame:
