@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
 
+FENCE, HEADING = re.compile(r"\s*(```|~~~)"), re.compile(r"(#{1,6})\s+(.+)$")
+
 
 def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line_id, line) of each text; one row per line, numbered from 1."""
@@ -14,26 +20,40 @@ def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select(key, (F.col("n") + 1).alias("line_no"), F.format_string("L%06d", F.col("n") + 1).alias("line_id"), "line")
 
 
+def fold(text: str) -> Iterator[tuple[str, str, int | None, list[str]]]:
+    """(line, kind, heading level, section path) of each line of a text."""
+    fenced, path = False, []
+    for line in text.splitlines():
+        if FENCE.match(line):
+            fenced = not fenced
+        heading = None if fenced else HEADING.match(line)
+        if heading:
+            path = [*path[: len(heading[1]) - 1], heading[2]]
+        yield line, "code" if fenced else "heading" if heading else "text", len(heading[1]) if heading else None, path
+
+
 def folded_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line, kind, heading_level, section_path) by one fold over the lines of each text.
 
     A fence marker toggles before its own line is labelled, so the opening one is code and the closing
     one text. A heading replaces the path from its level on; levels that are skipped leave no gap. The
-    fold runs inside a row, so nothing is shuffled and long texts don't make a long window."""
-    zero = F.struct(F.lit(False).alias("fenced"), F.array().cast("array<string>").alias("path"), F.array().cast("array<struct<line_no:int,line:string,kind:string,heading_level:int,section_path:array<string>>>").alias("out"))
-
-    def step(acc: Column, line: Column) -> Column:
-        fenced = F.when(line.rlike(r"^\s*(```|~~~)"), ~acc["fenced"]).otherwise(acc["fenced"])
-        heading = ~fenced & line.rlike(r"^#{1,6}\s+.+$")
-        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
-        title = F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1)
-        path = F.when(heading, F.concat(F.slice(acc["path"], F.lit(1), level - 1), F.array(title))).otherwise(acc["path"])
-        kind = F.when(fenced, "code").when(heading, "heading").otherwise("text")
-        row = F.struct((F.size(acc["out"]) + 1).alias("line_no"), line.alias("line"), kind.alias("kind"), F.when(heading, level).alias("heading_level"), path.alias("section_path"))
-        return F.struct(fenced.alias("fenced"), path.alias("path"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = F.aggregate(tx.lines(F.col(text)), zero, step, lambda acc: acc["out"])
-    return documents.select(key, F.inline(folded))
+    state of a line depends on all lines before it, which no built-in expression carries on without
+    copying what it has built; the fold runs in Arrow batches, linear in the text and without a shuffle."""
+    of = documents.schema[key].dataType.simpleString()
+    schema = pa.schema([("line_no", pa.int32()), ("line", pa.string()), ("kind", pa.string()), ("heading_level", pa.int32()), ("section_path", pa.list_(pa.string()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            owner, rows = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                for n, row in enumerate(fold(t or ""), 1):
+                    owner.append(i)
+                    rows.append((n, *row))
+            if rows:
+                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], names=[key, *schema.names])
+
+    return documents.select(key, text).mapInArrow(run, f"`{key}` {of}, line_no int, line string, kind string, heading_level int, section_path array<string>")
 
 
 def fence_state(lines: DataFrame, key: str = "doc_id", line: str = "line", order: str = "line_no") -> DataFrame:
