@@ -410,7 +410,13 @@ def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
             if not fixed and (found := places(t[marker:end])):
                 chains.append([(p, label(p)) for p in found])
     chains += stripped(texts, rng)
-    data = [([features(p) for p, _ in c], [y for _, y in c]) for c in chains]
+    seen: dict[tuple, list[str]] = {}
+    for c in chains:
+        for p, _ in c:
+            if p.key() not in seen:
+                seen[p.key()] = features(p)
+    # chains that look alike teach the same; each is kept once
+    data = [([seen[k] for k in keys], list(gold)) for keys, gold in dict.fromkeys((tuple(p.key() for p, _ in c), tuple(y for _, y in c)) for c in chains)]
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
     moves, moved = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
