@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import materialize
 
 FENCE, HEADING = re.compile(r"\s*(```|~~~)"), re.compile(r"(#{1,6})\s+(.+)$")
 
@@ -104,11 +105,18 @@ def required_units(units: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, key: str, order: list[str], value: str, reach: int = 2) -> DataFrame:
-    """``rows`` with the values of at most ``reach`` rows before and after, in order, without the own one."""
-    w = Window.partitionBy(key).orderBy(*order)
-    before = F.collect_list(value).over(w.rowsBetween(-reach, -1))
-    after = F.collect_list(value).over(w.rowsBetween(1, reach))
-    return rows.withColumn("neighbours", F.concat(before, after))
+    """(key, order, value, neighbours): the values of at most ``reach`` rows of the same key before and after,
+    in order, without the own one.
+
+    Rows are numbered over all keys and meet by equal numbers; a key that many rows have is spread over
+    many tasks, as it would not be in a window of this key."""
+    placed = numbered(rows.select(key, *order, *({value} - set(order))), [key, *order])
+    near = placed.select(F.col(key).alias("__key"), F.col(value).alias("__value"), F.col("n").alias("__n"), F.explode(F.array(*[F.lit(i) for i in range(-reach, reach + 1) if i])).alias("__by"))
+    near = near.select("__key", "__value", "__by", (F.col("__n") - F.col("__by")).alias("n"))
+    joined = placed.join(near, "n", "left")
+    same = F.col("__key").eqNullSafe(F.col(key)) & F.col("__by").isNotNull()
+    held = F.array_sort(F.collect_list(F.when(same, F.struct("__by", "__value"))))
+    return joined.groupBy("n").agg(*[F.first(c).alias(c) for c in placed.columns if c != "n"], F.transform(held, lambda x: x["__value"]).alias("neighbours")).drop("n")
 
 
 def nearby_text(lines: DataFrame, key: str = "doc_id", reach: int = 3, size: int = 1500) -> DataFrame:
@@ -126,16 +134,19 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_n: str,
     return joined.drop("__at")
 
 
-def occurrence_ids(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """``rows`` with occurrence_id O%05d, numbered over all rows in scan order.
+def numbered(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` with n, their number from 1 over all rows in order.
 
     Rows are range-sorted and written once; each range is numbered by itself and shifted by the count of
     rows before it, so the number is global without one task sorting everything."""
-    from lectern.session import materialize
-
     ranges = rows.repartitionByRange(*([parts] if parts else []), *[F.col(c) for c in order])
     held = materialize(ranges.sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "numbered")
-    counts = held.groupBy("__part").agg(F.count("*").alias("n"), F.min("__at").alias("first"))
+    counts = held.groupBy("__part").agg(F.count("*").alias("__count"), F.min("__at").alias("__first"))
     # one row per range
-    before = counts.select("__part", "first", F.expr("coalesce(sum(n) over (order by __part rows between unbounded preceding and 1 preceding), 0)").alias("before"))
-    return held.join(F.broadcast(before), "__part").withColumn("occurrence_id", F.format_string("O%05d", F.col("before") + F.col("__at") - F.col("first") + 1)).drop("__part", "__at", "first", "before")
+    before = counts.select("__part", "__first", F.expr("coalesce(sum(__count) over (order by __part rows between unbounded preceding and 1 preceding), 0)").alias("__before"))
+    return held.join(F.broadcast(before), "__part").withColumn("n", F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__before")
+
+
+def occurrence_ids(rows: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """``rows`` with occurrence_id O%05d, numbered over all rows in scan order."""
+    return numbered(rows, order, parts).withColumn("occurrence_id", F.format_string("O%05d", "n")).drop("n")

@@ -68,7 +68,8 @@ def _ranked(term: str, eligible: str = "true", aliases: bool = False, related: b
  every as (select entry_no, score from summed union all select entry_no, score from near where entry_no not in (select entry_no from summed))""" if related else ", every as (select * from summed)"
     return f"""with {TOKENS}, names as (select distinct entry_no as id, unnest([entry_id, name]) as n from docs where entry_type = 'knowledge'), wanted as (select distinct term from ({wanted}) w),
  terms as (select term, 1.0 as factor from wanted union all select term, 0.3 from ({more}) m where term not in (select term from wanted)),
- edges as (select a.entry_no as a, b.entry_no as b from docs a join docs b on a.source_id = b.source_id and a.body = b.body and a.entry_no <> b.entry_no),
+ star as (select entry_no as a, min(entry_no) over (partition by source_id, body) as b from docs where source_id is not null and body is not null),
+ edges as (select a, b from star where a <> b union select b, a from star where a <> b),
  hits as (select k.entry_no, k.field, k.term, t.factor, count(*) as tf from toks k join terms t on k.term = t.term group by 1, 2, 3, 4),
  dfs as (select term, count(distinct entry_no) as df from hits group by 1),
  scored as (select h.entry_no, sum(h.factor * case h.field when 'name' then 4.0 when 'body' then 2.0 else 1.5 end * ln(1 + ((select count(*) from docs) + 1) / (d.df + 1)) * (1 + ln(h.tf))) as score
@@ -117,11 +118,12 @@ def search_aliases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def twin_edges(docs: DataFrame) -> DataFrame:
-    """Records of one source with the same body, as edges (a, b): each to every other of its group.
-
-    The groups are those of an exact (source, body), as the relation defines them."""
+    """Edges (a, b) between each record and the first one of its source with the same body, both ways; a group
+    of n records has n - 1 such links, not their pairs."""
     rows = docs.where("source_id is not null and body is not null").select("id", "source_id", "body")
-    return rows.select(F.col("id").alias("a"), "source_id", "body").join(rows.select(F.col("id").alias("b"), "source_id", "body"), ["source_id", "body"]).where("a <> b").select("a", "b")
+    first = rows.groupBy("source_id", "body").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    star = rows.join(first, ["source_id", "body"]).select(F.col("id").alias("a"), "b", F.lit("same body").alias("reason"))
+    return ix.both_ways(star)
 
 
 @query(_ranked(TERM, related=True))
@@ -163,17 +165,20 @@ def raster_candidates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where(~same).select("l_orderkey", F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"), "near_part", "near_line")
 
 
-@query(f"""with {LATEST}, pairs as (
- select k.entry_no, u.unit_id from (select distinct entry_no, source_id, section from index_entries where entry_type = 'knowledge' and kind = 'object') k join latest u on k.source_id = u.owner_id and u.kind = 'gap'
- union select k.entry_no, u.unit_id from (select distinct entry_no, source_id, section from index_entries where entry_type = 'knowledge' and kind = 'object') k join latest u on k.source_id = u.owner_id and k.section = array_to_string(u.section_path, ' > ') and u.kind = 'comment')
-select entry_no, unit_id from pairs""")
+@query(f"""with {LATEST}, k as (select distinct entry_no, source_id, section from index_entries where entry_type = 'knowledge' and kind = 'object'),
+ g as (select owner_id, count(*) as n from latest where kind = 'gap' group by 1), c as (select owner_id, array_to_string(section_path, ' > ') as section, count(*) as n from latest where kind = 'comment' group by 1, 2)
+select k.entry_no, coalesce(g.n, 0) as gaps, coalesce(c.n, 0) as comments from k left join g on k.source_id = g.owner_id left join c on k.source_id = c.owner_id and k.section = c.section where g.n is not null or c.n is not null""")
 def related_attachments(spark: SparkSession, d: str) -> DataFrame:
-    """Objects with units of their source: gaps, or comments under the same section; two equi-joins for the 'or'."""
+    """Objects with the number of related units of their source: gaps, and comments under the same section.
+
+    Two equi-joins stand for the 'or', each with counts per group, so a source that many rows have doesn't
+    multiply."""
     k = table(spark, d, "index_entries").where("entry_type = 'knowledge' and kind = 'object'").select("entry_no", "source_id", "section").distinct()
-    u = units(spark, d).select("unit_id", F.col("owner_id").alias("source_id"), "kind", F.array_join("section_path", " > ").alias("section"))
-    one = k.join(u.where("kind = 'gap'").drop("section"), "source_id").select("entry_no", "unit_id")
-    two = k.join(u.where("kind = 'comment'"), ["source_id", "section"]).select("entry_no", "unit_id")
-    return one.unionByName(two).distinct()
+    u = units(spark, d).select(F.col("owner_id").alias("source_id"), "kind", F.array_join("section_path", " > ").alias("section"))
+    gaps = u.where("kind = 'gap'").groupBy("source_id").agg(F.count("*").alias("gaps"))
+    comments = u.where("kind = 'comment'").groupBy("source_id", "section").agg(F.count("*").alias("comments"))
+    both = k.join(gaps, "source_id", "left").join(comments, ["source_id", "section"], "left").where("gaps is not null or comments is not null")
+    return both.select("entry_no", F.coalesce("gaps", F.lit(0)).alias("gaps"), F.coalesce("comments", F.lit(0)).alias("comments"))
 
 
 @query("select distinct l_partkey as target, l_suppkey as reason from lineitem")

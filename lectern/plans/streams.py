@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.versions import VersionedTable
-from lectern.session import shared_dir, table
+from lectern.session import step_dir, table
 from lectern.streaming.journal import latest_stream, publish_latest, stream_files
 
 
@@ -16,7 +16,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user, from a stream over the event files; the same as in batch."""
     schema = table(spark, d, "events").schema
     rows = stream_files(spark, d, schema, "events.parquet")
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{step_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = VersionedTable(spark, f"{base}/table")
     publish_latest(latest_stream(rows, ["user_id"], "ts", ["event_id", "event_type"]), out, "user_id", f"{base}/checkpoint")
     held = out.read()

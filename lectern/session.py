@@ -45,10 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def step_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables are; ``clear`` removes them."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; frames that read them end with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(step_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: it cuts lineage, survives the loss of
     executors, and makes a later range partitioning or random choice see the same rows."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{step_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
