@@ -88,7 +88,7 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 def pieces(sizes: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(window_id, capacity, key, piece_no, start_token, n_tokens): items cut where they exceed the capacity.
     windows has a handful of rows."""
-    rows = sizes.crossJoin(F.broadcast(windows))
+    rows = sizes.select(key, "n_tokens").crossJoin(F.broadcast(windows.select("window_id", "capacity")))
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")) - 1, F.lit(0))
     rows = rows.select("window_id", "capacity", key, F.col("n_tokens").alias("whole"), F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("piece_no"))
     start = F.col("piece_no") * F.col("capacity")
@@ -126,7 +126,7 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame
     """(window_id, key, piece_no, start_token, n_tokens, container_id, container_offset), one row per piece.
 
     sizes: (key, n_tokens); windows: (window_id, capacity)."""
-    windows = windows.where("capacity > 0").distinct()
+    windows = windows.where("capacity > 0").select("window_id", "capacity").distinct()
     cut = materialize(pieces(sizes, windows, key), "pieces")
     rows = ranked(cut.where("n_tokens > 0"), key)
     counts = rows.groupBy("window_id", "capacity", "n_tokens").agg(F.count("*").alias("n"))

@@ -30,7 +30,7 @@ def test_plan_places_all(counts, capacity):
 
 
 def packed(spark, items, windows):
-    sizes = spark.createDataFrame([(*x, 0) for x in items], "doc_id bigint, n_tokens bigint, container_id int")
+    sizes = spark.createDataFrame([(*x, 0, 7) for x in items], "doc_id bigint, n_tokens bigint, container_id int, window_id int")
     return pk.pack(sizes, spark.createDataFrame(windows, "window_id int, capacity bigint")).collect()
 
 
