@@ -334,7 +334,8 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
 
     of_text = texts.mapInArrow(words, "text string, word string")
     counts = materialize(of_text.groupBy("word").agg(F.count("*").alias("n")), "words")
-    guesses = counts.mapInArrow(undone, "word string, n bigint, size bigint, was string, `by` array<string>")
+    # few rows, but each is tried with every pair of encodings
+    guesses = counts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(undone, "word string, n bigint, size bigint, was string, `by` array<string>")
     better = guesses.join(counts.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was").where((F.col("was_n") > F.col("n")) & (F.col("was_n") > 1))
     better = materialize(better, "undone")
     # sets of transformations that explain a word: bounded by ENCODINGS
