@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.session import materialize
 
 # Weights of the ranking.
 WEIGHTS = {"name": 4.0, "body": 2.0, "section": 1.5, "metadata": 0.5}
@@ -60,24 +61,27 @@ def search(docs: DataFrame, term: str, key: str = "id", fields: tuple[str, ...]
         same = names.where(tx.normal_form(F.col("name")) == phrase).select("id").distinct()
         more = names.join(same, "id", "left_semi").select(F.explode(tx.query_tokens(F.col("name"))).alias("term")).distinct()
         terms = terms.unionByName(more.join(F.broadcast(terms), "term", "left_anti").withColumn("factor", F.lit(ALIAS_FACTOR)))
-    # the query is a handful of tokens; only their occurrences are counted
-    hits = field_tokens(docs, key, list(fields)).join(terms, "term").groupBy(key, "field", "term", "factor").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count_distinct(F.col(key)).alias("df"))
+    # one pass over the records: tokens, and whether the phrase occurs; what the query touches is written once
+    # and small against the records, everything after reads only that
+    holds = F.lit(False)
+    if phrase:
+        for f in ("name", "body"):
+            if f in fields:
+                holds = holds | F.coalesce(tx.normal_form(F.col(f)).contains(phrase), F.lit(False))
+    rows = docs.select(key, *[tx.index_tokens(F.col(f)).alias(f) for f in fields], holds.alias("phrase"))
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])
+    rows = rows.select(key, "phrase", F.inline(pairs)).select(key, "phrase", "field", F.explode("terms").alias("term"))
+    hits = materialize(rows.join(F.broadcast(terms), "term").groupBy(key, "phrase", "field", "term", "factor").agg(F.count("*").alias("tf")), "hits")  # terms: those of one query
+    df = hits.select(key, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
     idf = F.log(1 + (F.col("total") + 1) / (F.col("df") + 1))
     part = F.col("factor") * weight[F.col("field")] * idf * (1 + F.log("tf"))
-    scored = hits.join(df, "term").crossJoin(F.broadcast(total))  # total: one row
+    scored = hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(total))  # df: a row per term of the query; total: one row
     if allowed is not None:
         scored = scored.join(allowed.select(key).distinct(), key, "left_semi")
-    scored = scored.groupBy(key).agg(F.sum(part).alias("score"), F.array_sort(F.collect_set(F.concat_ws(":", "term", "field"))).alias("matches"))
-    if phrase:
-        holds = F.lit(False)
-        for f in ("name", "body"):
-            if f in fields:
-                holds = holds | F.coalesce(tx.normal_form(F.col(f)).contains(phrase), F.lit(False))
-        bonus = docs.join(scored, key, "left_semi").select(key, F.when(holds, PHRASE_BONUS).otherwise(0.0).alias("bonus"))
-        scored = scored.join(bonus, key).select(key, (F.col("score") + F.col("bonus")).alias("score"), "matches")
+    bonus = F.when(F.bool_or("phrase"), PHRASE_BONUS).otherwise(0.0)
+    scored = scored.groupBy(key).agg((F.sum(part) + bonus).alias("score"), F.array_sort(F.collect_set(F.concat_ws(":", "term", "field"))).alias("matches"))
     if edges is not None:
         near = scored.select(F.col(key).alias("a"), "score").join(edges.select("a", "b"), "a").groupBy(F.col("b").alias(key)).agg(F.max(F.col("score") * HOP_DECAY).alias("score"))
         pool = (allowed if allowed is not None else docs).select(key).distinct()

@@ -284,7 +284,7 @@ delta as (select coalesce(b.unit_id, a.unit_id) as unit_id, coalesce(a.owner_id,
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Live units as of the last successful run's revision, and now."""
     mark = table(spark, d, "state_runs").where("status = 'succeeded'").agg(F.max("revision").alias("until_revision"))
-    rows = table(spark, d, "units")
+    rows = table(spark, d, "units").select("unit_id", "revision", "arrived_at", "fingerprint", "kind", "owner_id", "retired")
     before = un.latest_units(rows.crossJoin(F.broadcast(mark)).where("revision <= until_revision").drop("until_revision"))  # mark: one row
     live = ~F.coalesce("retired", F.lit(False))
     return before.where(live), un.latest_units(rows).where(live)

@@ -38,9 +38,9 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sources")
 
 
-def units(spark: SparkSession, d: str) -> DataFrame:
-    """Current versions of units."""
-    return un.latest_units(table(spark, d, "units"))
+def units(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Current versions of units, without their texts unless asked for: what is kept per unit is shuffled whole."""
+    return un.latest_units(table(spark, d, "units").select("unit_id", "revision", "arrived_at", "fingerprint", "kind", "owner_id", "locator", "required", "retired", "section_path", *more))
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -282,7 +282,7 @@ def inventory(spark: SparkSession, d: str) -> DataFrame:
 def empty_cells(spark: SparkSession, d: str) -> DataFrame:
     """Parts of an owner with the number of cells that hold nothing but blanks."""
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
-    rows = units(spark, d).where(F.col("kind").isin("csv_cell", "native_cell", "gap"))
+    rows = units(spark, d, "text").where(F.col("kind").isin("csv_cell", "native_cell", "gap"))
     return rows.groupBy("owner_id", F.col("locator.part").alias("part")).agg(F.count("*").alias("cells"), F.count_if(blank).alias("empty"), F.bool_and(blank).alias("all_empty"))
 
 

@@ -28,8 +28,9 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    """Index records, each once, with the sources as an array."""
-    rows = table(spark, d, "index_entries").select("entry_no", "entry_id", "entry_type", "kind", "source_id", "name", "section", "body").distinct()
+    """Index records, each once, with the sources as an array. Repeated rows are equal, so the number tells them;
+    columns that a query doesn't use are pruned through the aggregation."""
+    rows = table(spark, d, "index_entries").select("entry_no", "entry_id", "entry_type", "kind", "source_id", "name", "section", "body").dropDuplicates(["entry_no"])
     return rows.withColumn("id", F.col("entry_no")).withColumn("source_ids", F.array_compact(F.array("source_id")))
 
 
