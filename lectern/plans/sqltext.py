@@ -36,7 +36,7 @@ def fold(x: str) -> str:
 
 
 def normal(x: str) -> str:
-    return f"trim({fold(nfkc(x))})"
+    return f"regexp_replace({fold(nfkc(x))}, '^[\\s\\v\x1c-\x1f\x85]+|[\\s\\v\x1c-\x1f\x85]+$', '', 'g')"
 
 
 def tokens(x: str, indexing: bool = True) -> str:
