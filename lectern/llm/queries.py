@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bpe, consistent, encoding, packing, sentences, terms
+from lectern.llm.sql import SQL
 from lectern.session import table
 
 try:
@@ -61,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
