@@ -55,7 +55,8 @@ def posting_counts(shards: DataFrame) -> DataFrame:
     null or wrong where it differs from the postings."""
     one = shards.select(term_form(F.col("term")).alias("term"), "built_at", F.explode("postings").alias("p"))
     one = one.select("term", "built_at", "p.entry_no", F.coalesce("p.field", F.lit("")).alias("field"), F.greatest(F.coalesce("p.n", F.lit(1)), F.lit(0)).cast("bigint").alias("n"))
-    one = one.where((F.col("term") != "") & F.col("entry_no").isNotNull())
+    # one shuffle serves both aggregations; a frequent term is spread by its records
+    one = one.where((F.col("term") != "") & F.col("entry_no").isNotNull()).repartition("term", "entry_no")
     latest = one.groupBy("term", "entry_no", "field").agg(F.max(F.struct(F.col("built_at"), F.col("n"))).alias("last"))
     return latest.groupBy("term", F.col("entry_no").alias("record")).agg(F.sum("last.n").alias("n"))
 
@@ -68,7 +69,7 @@ def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> It
     """(n-gram, occurrences, records) from suffixes (terms, record, n) in reverse lexicographic order.
 
     The stack holds the open prefixes of the last suffix; what a closed prefix has counted goes to the
-    one above it. With single terms each row is another record and a number does for the set."""
+    one above it. With single terms no sets meet; there ``record`` is a number of records."""
     path: list[str] = []
     totals: list[int] = []
     records: list = []
@@ -90,7 +91,7 @@ def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> It
             records.append(0 if longest == 1 else set())
         totals[-1] += n
         if longest == 1:
-            records[-1] += 1
+            records[-1] += record
         else:
             records[-1].add(record)
     while path:
@@ -103,17 +104,21 @@ def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> It
             records[-1] |= held
 
 
-def suffix_counts(sequences: DataFrame, longest: int = 1, salts: int = 8, record: str = "record", terms: str = "terms", n: str = "n") -> DataFrame:
+def suffix_counts(sequences: DataFrame, longest: int = 1, salts: int = 8, record: str = "record", terms: str = "terms", n: str = "n", unique: bool = False) -> DataFrame:
     """(terms, frequency, n_records) of every n-gram of at most ``longest`` terms.
 
     sequences: a record, an array of terms, and how often this sequence stands in the record. Equal
-    truncated suffixes of a record are added up before the shuffle. ``salts`` parts are made of each
-    first term; a task holds the records of one open prefix of one part."""
+    truncated suffixes of a record are added up before they are routed; single terms, whose records no
+    other suffix shares, are also added up over the records of a part. ``unique`` says that no record has
+    a suffix twice. ``salts`` parts are made of each first term; a task holds the records of one open
+    prefix of one part."""
     suffixes = sequences.select(F.col(record).alias("record"), F.col(n).cast("bigint").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), lambda i: F.slice(F.col(terms), i, longest))).alias("s"))
     suffixes = suffixes.where(F.size("s") > 0)
-    if longest > 1:
+    if not unique:
         suffixes = suffixes.groupBy("record", "s").agg(F.sum("n").alias("n"))
     routed = suffixes.select(F.col("s")[0].alias("head"), F.pmod(F.xxhash64("record"), F.lit(salts)).alias("salt"), "s", "record", "n")
+    if longest == 1:  # here the field record holds a number of records
+        routed = routed.groupBy("head", "salt", "s").agg(F.count("*").alias("record"), F.sum("n").alias("n")).select("head", "salt", "s", "record", "n")
     routed = routed.repartition("head", "salt").sortWithinPartitions(F.col("salt"), F.col("s").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +163,7 @@ def index_terms(shards: DataFrame, rare: int = 3, common: float = 0.1) -> DataFr
     ``rare`` records, 'common' with more than the share ``common`` of all records, else null."""
     counted = materialize(posting_counts(shards), "postings")
     records = counted.agg(F.countDistinct("record").alias("all_records"))
-    terms = suffix_counts(counted.select("record", F.array("term").alias("terms"), "n"), longest=1)
+    terms = suffix_counts(counted.select("record", F.array("term").alias("terms"), "n"), longest=1, unique=True)
     mark = F.when(F.col("n_records") < rare, "rare").when(F.col("n_records") > common * F.col("all_records"), "common")
     return terms.crossJoin(F.broadcast(records)).select(F.col("terms")[0].alias("term"), "frequency", "n_records", mark.alias("mark"))  # records: one row
 

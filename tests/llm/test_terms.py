@@ -36,12 +36,6 @@ seqs = st.lists(st.tuples(st.integers(0, 5), st.lists(st.sampled_from("abc"), ma
 @settings(max_examples=8, deadline=None)
 @given(seqs, st.integers(1, 3), st.integers(1, 4))
 def test_suffix_counts_equal_counting(spark, rows, longest, salts):
-    if longest == 1:  # one row per record and term, as the operator asks for
-        held = Counter()
-        for r, s, n in rows:
-            for t in s:
-                held[r, t] += n
-        rows = [(r, [t], n) for (r, t), n in held.items()]
     want_n, want_r = Counter(), defaultdict(set)
     for r, s, n in rows:
         for i in range(len(s)):
