@@ -312,8 +312,6 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
     learned from twins, or if so many different words of three signs beyond ASCII are garbled by it as
     learning asks for (words whose bytes are partly ASCII have no stripped twin). Words of one or two
     signs prove nothing alone: a text needs a garbled word of three."""
-    pairs = [(a, b) for a in ENCODINGS[1:] for b in ENCODINGS[1:] if a != b]
-
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(t, w) for t in b.column(0).to_pylist() for w in words_of(t)]
@@ -324,10 +322,16 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
             rows = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 outs: dict[str, list[str]] = {}
-                for was, read_as in pairs:
-                    out = undo(w, was, read_as)
-                    if out and not out.isascii() and LOST not in out:
-                        outs.setdefault(out, []).append(f"{was}|{read_as}")
+                for read_as in ENCODINGS[1:]:
+                    raw = to_bytes(w, read_as)
+                    for was in ENCODINGS[1:] if raw else ():
+                        if was != read_as:
+                            try:
+                                out = raw.decode(was)
+                            except UnicodeDecodeError:
+                                continue
+                            if out != w and not out.isascii() and LOST not in out:
+                                outs.setdefault(out, []).append(f"{was}|{read_as}")
                 size = signs(w)
                 rows += [(w, n, size, out, by) for out, by in outs.items()]
             yield _spell(b, rows, [("word", S), ("n", pa.int64()), ("size", pa.int64()), ("was", S), ("by", pa.list_(S))])
