@@ -23,6 +23,7 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -145,6 +146,7 @@ def spans(s: str) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+@lru_cache(maxsize=200_000)
 def kind(ch: str) -> str:
     """The class of a character."""
     if not ch:
@@ -212,7 +214,7 @@ def places(s: str) -> list[Place]:
                 while k < n and s[k] in "   \n" and k - e < 2:
                     k += 1
                 if k < n and s[k] in CLOSERS and (k == e or s[k] in "»›"):
-                    end_of = next((x for x in held if x[1] == k), None)
+                    end_of = next((x for x in held if x[1] == k), None) if held else None
                     if end_of is not None and end_of[0] < i:
                         closed, e = end_of, k + 1
                         continue
@@ -234,17 +236,23 @@ def places(s: str) -> list[Place]:
             continue
         before = s[i - 1] if i else ""
         p.before = kind(before)
-        token = TOKEN.search(s, max(0, i - 24), i).group() if mark in (".", "…") else ""
-        head, _, last = token.rpartition(".")
-        if last[:1].isupper() and len(head) - head.rfind(".") > 3:  # no blank after the sentence before
-            token = last
+        token = ""
+        if mark in (".", "…"):
+            low = i - 24 if i > 24 else 0
+            token = s[max(s.rfind(" ", low, i), s.rfind("\n", low, i), low - 1) + 1 : i]
+            if not token.isalnum():
+                token = TOKEN.search(token).group()
+        if "." in token:
+            head, _, last = token.rpartition(".")
+            if last[:1].isupper() and len(head) - head.rfind(".") > 3:  # no blank after the sentence before
+                token = last
         p.token = token.lower()
         p.shape = "none" if not token else "digits" if token.isdigit() else "initial" if len(token) == 1 and token.isupper() else "letter" if len(token) == 1 else "dotted" if "." in token else "short" if len(token) <= 3 else "long"
         following = WORD.match(s, k)
         word = following.group() if following else ""
         p.word = word.lower() if len(word) <= 6 else ""
         p.camel = word[:1].islower() and any(c.isupper() for c in word[1:])
-        p.inside = any(a < i and b >= e for a, b in held)
+        p.inside = any(a < i and b >= e for a, b in held) if held else False
         p.closes = closed is not None
         p.alone_bracket = closed is not None and s[closed[0]] in "(（[【"
         p.intro = "none"
@@ -255,11 +263,12 @@ def places(s: str) -> list[Place]:
                 b -= 1
             c = s[b] if b >= 0 else ""
             p.intro = "start" if not c or c in MARKS or c in CLOSERS else "colon" if c in ":：" else "comma" if c in ",，" else "word"
-        tail = s[k : k + 14]
-        stop = re.search(r"[。！？\n]", tail)
-        p.said = bool(stop and stop.start() <= 9 and any(c in SAID for c in tail[: stop.start()]))
-        since = s[found[-1].end if found else 0 : i]
-        p.short = len(since.split()) <= 4
+        p.said = False
+        if closed is not None:
+            tail = s[k : k + 14]
+            stop = re.search(r"[。！？\n]", tail)
+            p.said = bool(stop and stop.start() <= 9 and any(c in SAID for c in tail[: stop.start()]))
+        p.short = p.token in TIMES and len(s[found[-1].end if found else 0 : i].split()) <= 4
         p.prior = ""
         if p.shape == "digits":
             words = s[max(0, i - 40) : i - len(token)].replace(".", ". ").split()
