@@ -11,7 +11,8 @@ The weights are an averaged structured perceptron's, trained on a bounded sample
 (``sample_rows``) that labelling rules (``label``) have tagged; features are looser than the rules
 (tokens, shapes, classes and their pairs), so that unseen abbreviations and marks are weighed. For
 scripts without marks the sample also gives text whose blanks are all that is left: its punctuation is
-stripped, and known units (cells, items, lines) are put together.
+stripped, and known units (cells, items, lines) are put together. Sentences of the sample are also put
+together at random, with and without blanks, so that languages meet that no document of it mixes.
 
 Cases: null, empty and blank texts have no sentence; a run without any boundary is one; a text of any
 length is processed whole; repeated rows give repeated sentences.
@@ -410,6 +411,27 @@ def stripped(texts: list[str], rng: random.Random) -> list[list[tuple[Place, boo
     return [x for x in out if x]
 
 
+def mixed(texts: list[str], rng: random.Random) -> list[list[tuple[Place, bool]]]:
+    """Training text of sentences of any language side by side, half of it without blanks between them."""
+    pool = []
+    for t in texts:
+        for start, end, fixed, marker in blocks(t):
+            if not fixed:
+                body, a = t[marker:end], 0
+                for p in places(body):
+                    if label(p):
+                        if p.end - a <= 200:
+                            pool.append(body[a : p.end].strip())
+                        a = p.end
+    pool = sorted(set(pool))
+    out = []
+    for k in range(len(texts) // 3 if pool else 0):
+        line = ("" if k % 2 else " ").join(rng.choice(pool) for _ in range(4))
+        if found := places(line):
+            out.append([(p, label(p)) for p in found])
+    return out
+
+
 def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
     """An averaged structured perceptron over the tagged sample; the same sample gives the same model."""
     rng = random.Random(seed)
@@ -419,6 +441,7 @@ def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
             if not fixed and (found := places(t[marker:end])):
                 chains.append([(p, label(p)) for p in found])
     chains += stripped(texts, rng)
+    chains += mixed(texts, rng)
     seen: dict[tuple, list[str]] = {}
     for c in chains:
         for p, _ in c:
