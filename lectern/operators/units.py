@@ -57,12 +57,6 @@ def folded_lines(documents: DataFrame, key: str = "doc_id", text: str = "text")
     return documents.select(key, text).mapInArrow(run, f"`{key}` {of}, line_no int, line string, kind string, heading_level int, section_path array<string>")
 
 
-def fence_state(lines: DataFrame, key: str = "doc_id", line: str = "line", order: str = "line_no") -> DataFrame:
-    """``lines`` with in_fence, by a running parity of fence markers."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return lines.withColumn("in_fence", F.sum(F.col(line).rlike(r"^\s*(```|~~~)").cast("int")).over(w) % 2 == 1)
-
-
 def line_clauses(lines: DataFrame, key: str = "doc_id", line: str = "line", indivisible: Column | None = None) -> DataFrame:
     """(key, line_no, start, end, clause) of each line."""
     found = lines.select(key, "line_no", F.inline(tx.clauses(F.col(line), indivisible)))
