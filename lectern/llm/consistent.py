@@ -20,12 +20,10 @@ Cases: null stays null, empty stays empty, a text of invisible signs alone becom
 from __future__ import annotations
 
 import unicodedata as ud
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,17 +230,3 @@ def look_alike_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text:
 
     a, b = side(left, left_id, left_text, "a_id", "a_text"), side(right, right_id, right_text, "b_id", "b_text")
     return a.join(b, "form").where(F.col("a_text") != F.col("b_text")).select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id)).distinct()
-
-
-def map_batches(df: DataFrame, text: str, name: str = "form") -> DataFrame:
-    """(all columns, form) through Arrow batches; for callers that need no other expression."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-            known = [x for x in texts if x is not None]
-            forms = iter(consistent(known))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([None if x is None else next(forms) for x in texts], pa.string())], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, f"{fields}, `{name}` string")
