@@ -15,6 +15,19 @@ def diff(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFram
     return joined.select(F.coalesce("ka", "kb").alias(key), change.alias("change"))
 
 
+def inventory_diff(before: DataFrame, after: DataFrame, owner: str, key: str, digest: str) -> DataFrame:
+    """(owner, change): owners added, removed, or with any row added, removed or changed between two snapshots
+    that hold each key once.
+
+    Rows meet by owner and key, and each pair is compared; what is left per owner is flags, which combine
+    before the shuffle, so an owner with many rows is no hot group."""
+    rows = [s.select(owner, key, F.struct(F.col(digest).alias("digest")).alias("held"), F.lit(now).alias("now")) for s, now in ((before, False), (after, True))]
+    pairs = rows[0].unionByName(rows[1]).groupBy(owner, key).agg(F.max(F.when(~F.col("now"), F.col("held"))).alias("a"), F.max(F.when(F.col("now"), F.col("held"))).alias("b"))
+    owners = pairs.groupBy(owner).agg(F.bool_or(F.col("a").isNotNull()).alias("was"), F.bool_or(F.col("b").isNotNull()).alias("is"), F.bool_or(~F.col("a").eqNullSafe(F.col("b"))).alias("differs"))
+    change = F.when(~F.col("was"), "added").when(~F.col("is"), "removed").otherwise("changed")
+    return owners.where("differs").select(owner, change.alias("change"))
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """(key, side) of distinct keys that one side alone has."""
     left, right = a.select(key).distinct(), b.select(key).distinct()

@@ -324,9 +324,9 @@ def affected_reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {BEFORE}, a as (select owner_id, count(*) as n, max(fingerprint) as f from before group by 1), b as (select owner_id, count(*) as n, max(fingerprint) as f from live group by 1) select coalesce(a.owner_id, b.owner_id) as owner_id, case when a.owner_id is null then 'added' when b.owner_id is null then 'removed' else 'changed' end as change from a full outer join b on a.owner_id = b.owner_id where a.owner_id is null or b.owner_id is null or a.n || ' ' || coalesce(a.f, '') <> b.n || ' ' || coalesce(b.f, '')")
 def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Owners whose inventory differs between the snapshots."""
-    held = [s.groupBy("owner_id").agg(F.concat_ws(" ", F.count("*").cast("string"), F.coalesce(F.max("fingerprint"), F.lit(""))).alias("digest")) for s in snapshots(spark, d)]
-    return it.diff(held[0], held[1], "owner_id", "digest")
+    """Owners whose inventory differs between the snapshots in any of its units."""
+    before, now = snapshots(spark, d)
+    return it.inventory_diff(before, now, "owner_id", "unit_id", "fingerprint")
 
 
 @query(f"with {BEFORE} select (select count(*) from delta where change = 'added') as added, (select count(*) from delta where change = 'changed') as changed, (select count(*) from delta where change = 'removed') as removed, (select count(distinct owner_id) from delta) as owners")
