@@ -198,10 +198,12 @@ def unit_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select unit_id, revision, sha256('{"kind":"' || kind || '","owner_id":"' || owner_id || '","required":' || required::varchar || ',"unit_id":"' || unit_id || '"}') as row_sha256 from (select distinct unit_id, revision, kind, owner_id, required from units) u""")
 def unit_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of a unit's row in canonical JSON."""
-    rows = table(spark, d, "units").select("unit_id", "revision", "kind", "owner_id", "required").distinct()
-    content = tx.canonical(*[(c, F.col(c)) for c in ("unit_id", "kind", "owner_id", "required")])
-    return rows.select("unit_id", "revision", F.sha2(content, 256).alias("row_sha256"))
+    """A hash of all content of a unit's row in canonical JSON: every column but the fingerprint itself and what
+    belongs to the delivery (revision and arrival). Versions that differ in any of it have rows of their own."""
+    rows = table(spark, d, "units")
+    locator = F.when(F.col("locator").isNotNull(), F.struct("locator.paragraph", "locator.part"))
+    fields = [(c, locator if c == "locator" else F.col(c)) for c in rows.columns if c not in ("fingerprint", "revision", "arrived_at")]
+    return rows.select("unit_id", "revision", F.sha2(tx.canonical(*fields), 256).alias("row_sha256")).distinct()
 
 
 @query(f"with {LATEST} select unit_id, kind, owner_id, revision from latest where required and not coalesce(retired, false)")
