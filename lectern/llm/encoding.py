@@ -309,9 +309,10 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
     """(text, votes, changed) of texts with words that a transformation other than from UTF-8 explains.
 
     A word counts as garbled if what it was is more frequent. A transformation is applied if it was
-    learned from twins, or if so many different words of three signs beyond ASCII are garbled by it as
-    learning asks for (words whose bytes are partly ASCII have no stripped twin). Words of one or two
-    signs prove nothing alone: a text needs a garbled word of three."""
+    learned from twins, or if it explains as many different words as learning asks for (words whose bytes
+    are partly ASCII have no stripped twin), in texts where it explains three signs beyond ASCII or more.
+    One or two signs prove nothing alone: a text needs three, in one word or in several, that one applied
+    transformation explains."""
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(t, w) for t in b.column(0).to_pylist() for w in words_of(t)]
@@ -342,13 +343,18 @@ def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int =
     guesses = counts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(undone, "word string, n bigint, size bigint, was string, `by` array<string>")
     better = guesses.join(counts.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was").where((F.col("was_n") > F.col("n")) & (F.col("was_n") > 1))
     better = materialize(better, "undone")
+    # signs of a text that each transformation explains, over all its words
+    explained = of_text.join(better.select("word", "size", "was", F.explode("by").alias("x")), "word")
+    evidence = explained.groupBy("text", "x").agg(F.sum("size").alias("size"), F.collect_list(F.struct("word", "was")).alias("words")).where("size >= 3")
+    evidence = materialize(evidence, "evidence")
     # sets of transformations that explain a word: bounded by ENCODINGS
-    sets = better.where("size >= 3").groupBy(F.array_sort("by").alias("by")).agg(F.count("*").alias("n"))
+    sets = evidence.select("x", F.inline("words")).groupBy("word", "was").agg(F.array_sort(F.collect_set("x")).alias("by")).groupBy("by").agg(F.count("*").alias("n"))
     left = {tuple(r["by"]): r["n"] for r in sets.collect()}
     applied = {f"{a}|{b}" for a, b in learned} | set(chosen(left, least))
     best = better.where(F.arrays_overlap("by", F.array(*[F.lit(x) for x in sorted(applied)]))).groupBy("word").agg(F.max(F.struct("was_n", "was")).alias("best"), F.max("size").alias("size"), F.max_by("by", F.struct("was_n", "was")).alias("by")).select("word", "size", "by")
-    hit = of_text.join(best, "word").groupBy("text").agg(F.collect_list(F.struct("size", "by")).alias("votes"), F.max("size").alias("size"), F.sum("size").alias("changed"))
-    return hit.where("size >= 3").select("text", "votes", "changed")
+    hit = of_text.join(best, "word").groupBy("text").agg(F.collect_list(F.struct("size", "by")).alias("votes"), F.sum("size").alias("changed"))
+    whole = evidence.where(F.col("x").isin(sorted(applied))).select("text").distinct()
+    return hit.join(whole, "text", "left_semi").select("text", "votes", "changed")
 
 
 def undo_words(text: str, votes: list[dict]) -> str:
@@ -398,7 +404,7 @@ def garbled_texts(paragraphs: DataFrame, text: str = "text", least: int = 3) ->
             rows = []
             for t, votes, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 out = undo_all(undo_words(t, votes), readings, known)
-                rows.append((t, None if LOST in out else out, n))
+                rows.append((t, None if LOST in t or LOST in out else out, n))
             yield _spell(b, rows, [("text", S), ("restored", S), ("changed", pa.int64())])
 
     found = texts.mapInArrow(run, "text string, restored string, changed bigint")
