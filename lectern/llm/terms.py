@@ -69,7 +69,7 @@ def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> It
     """(n-gram, occurrences, records) from suffixes (terms, record, n) in reverse lexicographic order.
 
     The stack holds the open prefixes of the last suffix; what a closed prefix has counted goes to the
-    one above it. With single terms no sets meet; there ``record`` is a number of records."""
+    one above it. With single terms no sets meet, and a record has each term once; there records are counted."""
     path: list[str] = []
     totals: list[int] = []
     records: list = []
@@ -91,7 +91,7 @@ def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> It
             records.append(0 if longest == 1 else set())
         totals[-1] += n
         if longest == 1:
-            records[-1] += record
+            records[-1] += 1
         else:
             records[-1].add(record)
     while path:
@@ -108,8 +108,8 @@ def suffix_counts(sequences: DataFrame, longest: int = 1, salts: int = 8, record
     """(terms, frequency, n_records) of every n-gram of at most ``longest`` terms.
 
     sequences: a record, an array of terms, and how often this sequence stands in the record. Equal
-    truncated suffixes of a record are added up before they are routed; single terms, whose records no
-    other suffix shares, are also added up over the records of a part. ``unique`` says that no record has
+    truncated suffixes of a record are added up before they are routed; the stack counts the records.
+    ``unique`` says that no record has
     a suffix twice. ``salts`` parts are made of each first term; a task holds the records of one open
     prefix of one part."""
     suffixes = sequences.select(F.col(record).alias("record"), F.col(n).cast("bigint").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), lambda i: F.slice(F.col(terms), i, longest))).alias("s"))
@@ -117,8 +117,6 @@ def suffix_counts(sequences: DataFrame, longest: int = 1, salts: int = 8, record
     if not unique:
         suffixes = suffixes.groupBy("record", "s").agg(F.sum("n").alias("n"))
     routed = suffixes.select(F.col("s")[0].alias("head"), F.pmod(F.xxhash64("record"), F.lit(salts)).alias("salt"), "s", "record", "n")
-    if longest == 1:  # here the field record holds a number of records
-        routed = routed.groupBy("head", "salt", "s").agg(F.count("*").alias("record"), F.sum("n").alias("n")).select("head", "salt", "s", "record", "n")
     routed = routed.repartition("head", "salt").sortWithinPartitions(F.col("salt"), F.col("s").desc())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
