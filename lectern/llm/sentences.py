@@ -2,27 +2,35 @@
 
 A document is parted into blocks (blank lines, headings, table lines, list items, fences). Within a
 block every character is tagged as inside or as the end of a sentence. Characters that can't end one
-(neither a closing mark nor, in scripts without such marks, a blank) are inside for certain, so the
-chain is carried over the open characters alone. A log-linear chain gives each open character a score
-from features of its surroundings and of the tag before, and Viterbi decoding takes the best
-sequence of tags of the block.
-
-The weights are an averaged structured perceptron's, trained on a bounded sample of documents
-(``sample_rows``) that labelling rules (``label``) have tagged; features are looser than the rules
-(tokens, shapes, classes and their pairs), so that unseen abbreviations and marks are weighed. For
-scripts without marks the sample also gives text whose blanks are all that is left: its punctuation is
-stripped, and known units (cells, items, lines) are put together. Sentences of the sample are also put
+(neither a closing mark nor, in scripts without such marks, a blank; and any mark before a word that
+begins in lower case) are inside for certain, so the chain is carried over the open characters alone. A
+log-linear chain gives each open character a score from features of its surroundings, and each pair of
+neighbouring tags one by the words between them; Viterbi decoding takes the best sequence of tags of
+the block.
+
+The weights are an averaged structured perceptron's, trained in two stages on a bounded sample of
+documents (``sample_rows``, ``sample_chars``) that labelling rules (``label``) have tagged. The word
+lists of the rules are no features. The first stage sees no word at all, only shapes: length, case and
+dots of the token before a mark, the class of what follows, brackets and quotes, the words since the last
+open character. What it learns holds for abbreviations that the sample lacks. The second stage keeps
+these weights and adds what the sample says of single tokens: the token, the words around it, how often
+it stands with a full stop, and how often a lower-case word follows that.
+
+For scripts without marks the sample also gives text whose blanks are all that is left: its punctuation
+is stripped, and known units (cells, items, lines) are put together. Sentences of the sample are also put
 together at random, with and without blanks, so that languages meet that no document of it mixes.
 
 Cases: null, empty and blank texts have no sentence; a run without any boundary is one; a text of any
-length is processed whole; repeated rows give repeated sentences.
+length is processed whole, in time linear in its length; repeated rows give repeated sentences.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -59,7 +67,13 @@ BLANK_LETTER = re.compile(rf"[{BLANK_SCRIPT}]")
 HEADING, TABLE, FENCE = re.compile(r"\s{0,3}#{1,6}(?:\s|$)"), re.compile(r"\s*\|"), re.compile(r"\s*(```|~~~)")
 ITEM = re.compile(r"\s*(?:(-)|(\d+)\.)[ \t]+(?=\S)")
 LINE = re.compile(r"[^\n]*\n?")
-TOKEN = re.compile(r"[^\s(（\[«“„\"'‘’「『]*$")
+#: What a token begins after.
+BEFORE_TOKEN = re.compile(r"[\s(（\[«“„\"'‘’「『]")
+STOP = re.compile(rf"[{re.escape(MARKS)}\n]")
+GREEK = re.compile(r"[Ͱ-Ͽἀ-῿]")
+#: Longer tokens are known by their shape alone.
+LONGEST = 40
+QUOTES = re.compile(r"[()（）\[\]【】「」『』«»‹›“”„\"〈〉《》｢｣]")
 WORD = re.compile(r"[^\W_]+(?:[-’'][^\W_]+)*")
 
 
@@ -123,29 +137,23 @@ def blocks(text: str) -> list[tuple[int, int, bool, int]]:
 
 
 def spans(s: str) -> list[tuple[int, int]]:
-    """Matched quotes and brackets of a block, by their start."""
+    """Matched quotes and brackets of a block, by their start; each is looked at once."""
     found: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
-    for m in re.finditer(r"[()（）\[\]【】「」『』«»‹›“”„\"〈〉《》｢｣]", s):
+    open_: Counter[str] = Counter()
+    for m in QUOTES.finditer(s):
         ch, i = m.group(), m.start()
-        if ch == '"':
-            want = '"' if any(c == '"' for c, _ in stack) else None
-        elif ch == "“":
-            want = "“" if any(c == "“" for c, _ in stack) else None
-        elif ch in PAIRS or ch == "„":
-            want = None
-        else:
-            want = ch
-            if not any(c == ch for c, _ in stack):
-                continue
-        if want is None:
-            stack.append(("“" if ch == "„" else PAIRS.get(ch, '"'), i))
-            continue
-        while stack:
-            c, j = stack.pop()
-            if c == want:
-                found.append((j, i))
-                break
+        if ch in PAIRS and ch != "“" or ch == "„" or ch in '"“' and not open_[ch]:
+            want = "“" if ch == "„" else PAIRS.get(ch, '"')
+            stack.append((want, i))
+            open_[want] += 1
+        elif open_[ch]:
+            while True:
+                c, j = stack.pop()
+                open_[c] -= 1
+                if c == ch:
+                    found.append((j, i))
+                    break
     return sorted(found)
 
 
@@ -179,18 +187,38 @@ def kind(ch: str) -> str:
 class Place:
     """What is around one open character of a block."""
 
-    __slots__ = ("end", "mark", "run", "token", "shape", "before", "next", "blank", "word", "camel", "inside", "closes", "intro", "lead", "said", "short", "greek", "prior", "alone_bracket")
+    __slots__ = ("end", "mark", "run", "token", "shape", "form", "last", "before", "next", "blank", "word", "letters", "camel", "inside", "closes", "intro", "said", "words", "greek", "prior", "alone_bracket")
+
+    def look(self) -> tuple:
+        """All but the words themselves."""
+        return (self.mark, self.run, self.shape, self.form, self.last, self.before, self.next, self.blank, self.letters, self.camel, self.inside, self.closes, self.intro, self.said, self.greek, self.alone_bracket)
 
     def key(self) -> tuple:
-        return (self.mark, self.run, self.token, self.shape, self.before, self.next, self.blank, self.word, self.camel, self.inside, self.closes, self.intro, self.lead, self.said, self.short, self.greek, self.prior, self.alone_bracket)
+        return (*self.look(), self.token, self.word, self.prior, self.words)
+
+
+def form_of(token: str, size: int) -> str:
+    """The form of a token: its length, case, dots, and whether it has digits or vowels."""
+    case = "U" if token.isupper() else "T" if token[:1].isupper() else "l" if token[:1].islower() else "-"
+    more = "." if "." in token else ""
+    if any(c.isdigit() for c in token):
+        more += "0"
+    return f"{min(size, 8)}{case}{more}"
 
 
 def places(s: str) -> list[Place]:
-    """The open characters of a block, in order."""
+    """The open characters of a block, in order, in one pass."""
     found: list[Place] = []
     held = spans(s)
+    starts = dict((b, a) for a, b in held)
+    outer: list[tuple[int, int]] = []  # spans in no other
+    for x in held:
+        if not outer or x[0] > outer[-1][1]:
+            outer.append(x)
+    around = 0
+    breaks = [m.start() for m in BEFORE_TOKEN.finditer(s)]
     n = len(s)
-    last_end = 0
+    last_end = since = 0
     for m in CANDIDATE.finditer(s):
         i, j = m.span()
         if i < last_end:
@@ -207,25 +235,25 @@ def places(s: str) -> list[Place]:
             mark = "।"
         elif mark in "!?":
             mark = "?"
-        elif mark in ";;":
+        elif mark in ";;":
             mark = ";"
         e = i if blank_mark else j
-        closed = None
+        closed = -1
         if not blank_mark:
             while True:  # closers, also after the blank of French quotes
                 k = e
-                while k < n and s[k] in "   \n" and k - e < 2:
+                while k < n and s[k] in "   \n" and k - e < 2:
                     k += 1
                 if k < n and s[k] in CLOSERS and (k == e or s[k] in "»›"):
-                    end_of = next((x for x in held if x[1] == k), None) if held else None
-                    if end_of is not None and end_of[0] < i:
-                        closed, e = end_of, k + 1
+                    begin = starts.get(k)
+                    if begin is not None and begin < i:
+                        closed, e = begin, k + 1
                         continue
-                    if end_of is None and k == e and s[k] not in "\"“'’":
+                    if begin is None and k == e and s[k] not in "\"“'’":
                         e = k + 1
                         continue
                 break
-            while e < n and s[e] in MARKS and s[e] != ";" and closed is not None:
+            while e < n and s[e] in MARKS and s[e] != ";" and closed >= 0:
                 e += 1
         k = e
         while k < n and s[k].isspace():
@@ -234,51 +262,61 @@ def places(s: str) -> list[Place]:
         p.blank = k > e
         nxt = s[k] if k < n else ""
         p.next = kind(nxt)
-        if not blank_mark and p.next in ("lower", "digit", "other", "mark", "dash") and not p.blank and mark != "।" and mark != "。" and closed is None:
-            last_end = e
+        last_end = e
+        if not blank_mark and p.next in ("lower", "digit", "other", "mark", "dash") and not p.blank and mark != "।" and mark != "。" and closed < 0:
             continue
+        following = WORD.match(s, k)
+        word = following.group() if following else ""
+        p.camel = word[:1].islower() and any(c.isupper() for c in word[1:])
+        if p.next == "lower" and not p.camel:
+            continue  # no sentence begins in lower case
+        p.word, p.letters = word.lower() if len(word) <= LONGEST else "", min(len(word), 3)
         before = s[i - 1] if i else ""
         p.before = kind(before)
-        token = ""
+        token, size, p.prior = "", 0, ""
         if mark in (".", "…"):
-            low = i - 24 if i > 24 else 0
-            token = s[max(s.rfind(" ", low, i), s.rfind("\n", low, i), low - 1) + 1 : i]
-            if not token.isalnum():
-                token = TOKEN.search(token).group()
+            at = bisect_left(breaks, i)
+            begin = breaks[at - 1] + 1 if at else 0
+            dot = s.rfind(".", begin, i)
+            if dot >= 0 and dot + 1 < i and s[dot + 1].isupper():
+                head = s.rfind(".", begin, dot)
+                if dot - max(head, begin - 1) > 4 - (head < 0):  # no blank after the sentence before
+                    begin = dot + 1
+            size = i - begin
+            if size <= LONGEST:
+                token = s[begin:i]
+            if token.isdigit():
+                b = begin
+                while b and s[b - 1].isspace():
+                    b -= 1
+                a = b
+                while a and not s[a - 1].isspace() and s[a - 1] != ".":
+                    a -= 1
+                p.prior = s[a:b].lower() if b - a <= LONGEST else ""
+        p.shape = "long" if size > LONGEST else "none" if not token else "digits" if token.isdigit() else "initial" if len(token) == 1 and token.isupper() else "letter" if len(token) == 1 else "dotted" if "." in token else "short" if len(token) <= 3 else "long"
+        p.form = p.last = form_of(token, size) if mark in (".", "…") else ""
         if "." in token:
-            head, _, last = token.rpartition(".")
-            if last[:1].isupper() and len(head) - head.rfind(".") > 3:  # no blank after the sentence before
-                token = last
+            last = token.rpartition(".")[2]
+            p.last = form_of(last, len(last))
         p.token = token.lower()
-        p.shape = "none" if not token else "digits" if token.isdigit() else "initial" if len(token) == 1 and token.isupper() else "letter" if len(token) == 1 else "dotted" if "." in token else "short" if len(token) <= 3 else "long"
-        following = WORD.match(s, k)
-        word = following.group() if following else ""
-        p.word = word.lower() if len(word) <= 6 else ""
-        p.camel = word[:1].islower() and any(c.isupper() for c in word[1:])
-        p.inside = any(a < i and b >= e for a, b in held) if held else False
-        p.closes = closed is not None
-        p.alone_bracket = closed is not None and s[closed[0]] in "(（[【"
-        p.intro = "none"
-        p.lead = False
-        if closed is not None:
-            b = closed[0] - 1
+        while around < len(outer) and outer[around][1] < i:
+            around += 1
+        p.inside = around < len(outer) and outer[around][0] < i and outer[around][1] >= e
+        p.closes = closed >= 0
+        p.alone_bracket = closed >= 0 and s[closed] in "(（[【"
+        p.intro, p.said = "none", False
+        if closed >= 0:
+            b = closed - 1
             while b >= 0 and s[b].isspace():
                 b -= 1
             c = s[b] if b >= 0 else ""
             p.intro = "start" if not c or c in MARKS or c in CLOSERS else "colon" if c in ":：" else "comma" if c in ",，" else "word"
-        p.said = False
-        if closed is not None:
-            tail = s[k : k + 14]
-            stop = re.search(r"[。！？\n]", tail)
-            p.said = bool(stop and stop.start() <= 9 and any(c in SAID for c in tail[: stop.start()]))
-        p.short = p.token in TIMES and len(s[found[-1].end if found else 0 : i].split()) <= 4
-        p.prior = ""
-        if p.shape == "digits":
-            words = s[max(0, i - 40) : i - len(token)].replace(".", ". ").split()
-            p.prior = words[-1].lower() if words and words[-1].lower() in ORDINAL_BEFORE and len(token) <= 2 else ""
-        p.greek = mark == ";" and len(re.findall(r"[Ͱ-Ͽἀ-῿]", s[max(0, i - 60) : i])) >= 3
+            stop = STOP.search(s, k)  # a clause that ends with a verb of saying
+            p.said = stop is not None and stop.start() > k and s[stop.start() - 1] in SAID
+        p.words = min(len(s[since:i].split()), 6)
+        p.greek = mark == ";" and 2 * len(GREEK.findall(s, since, i)) > sum(map(str.isalpha, s[since:i]))
         found.append(p)
-        last_end = e
+        since = e
     return found
 
 
@@ -316,47 +354,103 @@ def label(p: Place) -> bool:
     if p.next == "lower" and not p.camel:
         return False
     if p.shape == "digits":
-        return not p.prior
+        return not (p.prior in ORDINAL_BEFORE and len(token) <= 2)
     if token in ALSO_WORDS:
         return p.next != "digit"
     if token in MAY_END:
-        return p.next != "digit" and not (token in TIMES and p.short and p.word in TITLES)
+        return p.next != "digit" and not (token in TIMES and p.words <= 4 and p.word in TITLES)
     if token in NEVER_LAST or p.shape in ("initial", "letter"):
         return False
     return True
 
 
-def features(p: Place) -> list[str]:
-    """Names of the features that hold at an open character."""
-    m, n = p.mark, p.next
-    where = f"{int(p.inside)}{int(p.closes)}{int(p.alone_bracket)}{p.intro}"
-    known = "W" if p.token in ALSO_WORDS else "N" if p.token in NEVER_LAST else "M" if p.token in MAY_END else "-"
+def shapes(p: Place) -> list[str]:
+    """Names of the features that hold at an open character, without any word."""
+    m, n, b = p.mark, p.next, int(p.blank)
+    place = f"{int(p.inside)}{int(p.closes)}{int(p.alone_bracket)}{p.intro}"
+    open_ = f"{int(p.inside)}{int(p.closes)}"
     return [
-        f"m{m}",
-        f"mn{m}|{n}|{int(p.blank)}",
-        f"in{int(p.inside)}",
-        f"e{int(p.inside)}{n == 'end'}",
-        f"wn{where}|{n}",
-        f"wm{where}|{m}|{n}|{int(p.blank)}|{int(p.said)}",
-        f"t{m}|{p.token}",
-        f"tn{p.token}|{n}",
-        f"k{m}|{known}|{n}|{int(p.blank)}|{int(p.inside)}{int(p.closes)}",
-        f"s{m}|{p.shape}|{n}|{int(p.blank)}|{bool(p.prior)}",
-        f"ks{known}|{p.shape}|{int(p.camel)}|{n}|{int(p.blank)}|{int(p.inside)}{int(p.closes)}",
-        f"w{p.word}|{n}",
-        f"tw{p.token}|{p.word in TITLES}|{int(p.short)}",
-        f"c{int(p.camel)}|{n}|{known}|{p.shape}",
-        f"g{m}|{int(p.greek)}|{n}",
-        f"b{m}|{p.before}|{n}|{int(p.blank)}",
-        f"l{m}|{len(p.word) == 1}|{n}|{int(p.blank)}|{p.shape}",
+        f"m{m}|{n}|{b}",
+        f"i{int(p.inside)}|{n == 'end'}",
+        f"q{place}|{n}",
+        f"Q{place}|{m}|{n}|{b}|{int(p.said)}|{int(p.camel)}",
+        f"s{m}|{p.shape}|{n}|{b}|{open_}|{int(p.camel)}",
+        f"f{p.form}|{n}|{b}|{open_}",
+        f"F{p.form[:1]}|{n}|{b}",
+        f"C{p.form[1:]}|{n}|{b}",
+        f"L{p.last}|{n}|{b}",
+        f"c{int(p.camel)}|{n}|{p.shape}|{open_}",
+        f"b{m}|{p.before}|{n}|{b}",
+        f"g{m}|{int(p.greek)}|{n}|{b}",
+        f"l{m}|{p.letters}|{n}|{b}|{p.shape}",
+        f"r{m}|{p.run}|{n}|{b}",
     ]
 
 
+def words(p: Place, habits: dict[str, str]) -> list[str]:
+    """Names of the features of the words at an open character; ``habits`` says how the sample uses a token."""
+    n, b = p.next, int(p.blank)
+    out = [f"w{p.word}|{p.shape}"] if p.word else []
+    if p.token:
+        open_ = f"{int(p.inside)}{int(p.closes)}"
+        out += [f"t{p.token}|{open_}", f"n{p.token}|{n}|{b}|{open_}", f"v{p.token}|{p.word}", f"h{habits.get(p.token, '-')}|{n}|{b}|{open_}"]
+        if p.words <= 4:
+            out.append(f"o{p.token}|{p.word}|{p.words}")
+    if p.prior:
+        out += [f"p{p.prior}|{p.form}|{n}", f"P{p.prior}|{p.word}"]
+    return out
+
+
+def habits_of(texts: list[str]) -> dict[str, str]:
+    """How tokens are used in texts: the share of their uses that have a full stop, and the share of these
+    that a lower-case word, a number or a comma follows, both in four steps."""
+    free: Counter[str] = Counter()
+    dotted: Counter[str] = Counter()
+    within: Counter[str] = Counter()
+    for t in texts:
+        for m in re.finditer(r"([^\W\d_]+(?:\.[^\W\d_]+)*)(\.?)(?=(\s*)(\S?))", t):
+            token = m[1].lower()
+            if not m[2]:
+                free[token] += 1
+            else:
+                dotted[token] += 1
+                within[token] += m[4].islower() or m[4].isdigit() or m[4] == ","
+    step = lambda a, n: 0 if not a else 3 if a == n else 1 if 2 * a < n else 2
+    return {t: f"{step(n, n + free[t])}{step(within[t], n)}" for t, n in dotted.items()}
+
+
+#: Tags and the words between them: [before][now].
+Moves = list[list[list[float]]]
+
+
+def still() -> Moves:
+    return [[[0.0, 0.0], [0.0, 0.0]] for _ in range(7)]
+
+
+def viterbi(scores: list[float], gaps: list[int], moves: Moves) -> list[bool]:
+    """The best sequence of tags; before the first open character a sentence has ended. gaps: the words
+    before each open character since the last."""
+    inside, ends = float("-inf"), 0.0
+    back: list[tuple[int, int]] = []
+    for x, g in zip(scores, gaps, strict=True):
+        (ii, ie), (ei, ee) = moves[g]
+        a, b = inside + ii, ends + ei
+        c, d = inside + ie + x, ends + ee + x
+        back.append((int(b > a), int(d > c)))
+        inside, ends = max(a, b), max(c, d)
+    tag = int(ends > inside)
+    out = []
+    for b in reversed(back):
+        out.append(bool(tag))
+        tag = b[tag]
+    return out[::-1]
+
+
 class Model:
-    """Weights by feature for 'a sentence ends here', and of the tag before."""
+    """Weights by feature for 'a sentence ends here', of neighbouring tags, and the habits of tokens."""
 
-    def __init__(self, weights: dict[str, float], moves: list[list[float]]) -> None:
-        self.weights, self.moves = weights, moves
+    def __init__(self, weights: dict[str, float], moves: Moves, habits: dict[str, str]) -> None:
+        self.weights, self.moves, self.habits = weights, moves, habits
         self.known: dict[tuple, float] = {}
 
     def score(self, p: Place) -> float:
@@ -364,27 +458,20 @@ class Model:
         found = self.known.get(key)
         if found is None:
             get = self.weights.get
-            found = sum(get(f, 0.0) for f in features(p))
-            if len(self.known) < 500_000:
+            found = sum(get(f, 0.0) for f in shapes(p)) + sum(get(f, 0.0) for f in words(p, self.habits))
+            if len(self.known) < 200_000:
                 self.known[key] = found
         return found
 
-    def decode(self, scores: list[float]) -> list[bool]:
-        """The best sequence of tags (Viterbi); the tag before the first character is an end."""
-        (ii, ie), (ei, ee) = self.moves
-        inside, ends = float("-inf"), 0.0
-        back: list[tuple[int, int]] = []
-        for x in scores:
-            a, b = inside + ii, ends + ei
-            c, d = inside + ie + x, ends + ee + x
-            back.append((int(b > a), int(d > c)))
-            inside, ends = max(a, b), max(c, d)
-        tag = int(ends > inside)
-        out = []
-        for b in reversed(back):
-            out.append(bool(tag))
-            tag = b[tag]
-        return out[::-1]
+    def tags(self, found: list[Place]) -> list[bool]:
+        return viterbi([self.score(p) for p in found], [p.words for p in found], self.moves)
+
+    def to_json(self) -> str:
+        return json.dumps([self.weights, self.moves, self.habits], sort_keys=True, ensure_ascii=False)
+
+    @classmethod
+    def from_json(cls, text: str) -> Model:
+        return cls(*json.loads(text))
 
 
 def stripped(texts: list[str], rng: random.Random) -> list[list[tuple[Place, bool]]]:
@@ -422,8 +509,7 @@ def mixed(texts: list[str], rng: random.Random) -> list[list[tuple[Place, bool]]
                 body, a = t[marker:end], 0
                 for p in places(body):
                     if label(p):
-                        if p.end - a <= 200:
-                            pool.append(body[a : p.end].strip())
+                        pool.append(body[a : p.end].strip())
                         a = p.end
     pool = sorted(set(pool))
     out = []
@@ -434,53 +520,66 @@ def mixed(texts: list[str], rng: random.Random) -> list[list[tuple[Place, bool]]
     return out
 
 
-def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
-    """An averaged structured perceptron over the tagged sample; the same sample gives the same model."""
-    rng = random.Random(seed)
-    chains = []
-    for t in texts:
-        for start, end, fixed, marker in blocks(t):
-            if not fixed and (found := places(t[marker:end])):
-                chains.append([(p, label(p)) for p in found])
-    chains += stripped(texts, rng)
-    chains += mixed(texts, rng)
-    seen: dict[tuple, list[str]] = {}
-    for c in chains:
-        for p, _ in c:
-            if p.key() not in seen:
-                seen[p.key()] = features(p)
-    # chains that look alike teach the same; each is kept once
-    data = [([seen[k] for k in keys], list(gold)) for keys, gold in dict.fromkeys((tuple(p.key() for p, _ in c), tuple(y for _, y in c)) for c in chains)]
+def learn(chains: list[tuple[list[list[str]], list[int], list[float], list[bool]]], moves: Moves, epochs: int, rng: random.Random) -> tuple[dict[str, float], Moves]:
+    """An averaged structured perceptron over chains (features, gaps, scores that are given, tags). What is
+    right has to lead by a margin, so that averaging keeps it right."""
     weights: dict[str, float] = defaultdict(float)
     total: dict[str, float] = defaultdict(float)
-    moves, moved = [[0.0, 0.0], [0.0, 0.0]], [[0.0, 0.0], [0.0, 0.0]]
+    moves = [[list(r) for r in m] for m in moves]
+    moved = still()
     step = 1
     for _ in range(epochs):
-        rng.shuffle(data)
+        rng.shuffle(chains)
         wrong = 0
-        for feats, gold in data:
+        for feats, gaps, given, gold in chains:
             step += 1
-            # what is right has to lead by a margin, so that averaging keeps it right
-            got = Model(weights, moves).decode([sum(weights.get(f, 0.0) for f in fs) + (-MARGIN if y else MARGIN) for fs, y in zip(feats, gold, strict=True)])
+            got = viterbi([x + sum(weights.get(f, 0.0) for f in fs) + (-MARGIN if y else MARGIN) for fs, x, y in zip(feats, given, gold, strict=True)], gaps, moves)
             if got == gold:
                 continue
             wrong += 1
             a = b = True
-            for fs, g, y in zip(feats, gold, got, strict=True):
+            for fs, gap, g, y in zip(feats, gaps, gold, got, strict=True):
                 if g != y:
                     d = 1.0 if g else -1.0
                     for f in fs:
                         weights[f] += d
                         total[f] += d * step
                 if (a, g) != (b, y):
-                    moves[a][g] += 1
-                    moved[a][g] += step
-                    moves[b][y] -= 1
-                    moved[b][y] -= step
+                    moves[gap][a][g] += 1
+                    moved[gap][a][g] += step
+                    moves[gap][b][y] -= 1
+                    moved[gap][b][y] -= step
                 a, b = g, y
         if not wrong:
             break
-    return Model({f: w - total[f] / step for f, w in weights.items()}, [[moves[a][b] - moved[a][b] / step for b in (0, 1)] for a in (0, 1)])
+    return {f: w - total[f] / step for f, w in weights.items()}, [[[moves[k][a][b] - moved[k][a][b] / step for b in (0, 1)] for a in (0, 1)] for k in range(7)]
+
+
+def train(texts: list[str], epochs: int = 15, seed: int = 7) -> Model:
+    """The model of a tagged sample; the same sample gives the same model."""
+    rng = random.Random(seed)
+    chains = []
+    for t in texts:
+        for start, end, fixed, marker in blocks(t):
+            if not fixed and (found := places(t[marker:end])):
+                chains.append([(p, label(p)) for p in found])
+    chains += stripped(texts, rng)
+    chains += mixed(texts, rng)
+    habits = habits_of(texts)
+    first = {p.look(): p for c in chains for p, _ in c}
+    shape = {k: shapes(p) for k, p in first.items()}
+    # chains that look alike teach the same; each is kept once for each stage
+    looks = dict.fromkeys((tuple((p.look(), p.words) for p, _ in c), tuple(y for _, y in c)) for c in chains)
+    data = [([shape[k] for k, _ in keys], [g for _, g in keys], [0.0] * len(keys), list(gold)) for keys, gold in looks]
+    weights, moves = learn(data, still(), epochs // 2, rng)
+    given = {k: sum(weights.get(f, 0.0) for f in fs) for k, fs in shape.items()}
+    every = {p.key(): p for c in chains for p, _ in c}
+    word = {k: words(p, habits) for k, p in every.items()}
+    base = {k: given[p.look()] for k, p in every.items()}
+    seen = dict.fromkeys((tuple(p.key() for p, _ in c), tuple(y for _, y in c)) for c in chains)
+    data = [([word[k] for k in keys], [k[-1] for k in keys], [base[k] for k in keys], list(gold)) for keys, gold in seen]
+    more, moves = learn(data, moves, epochs, rng)
+    return Model(weights | more, moves, habits)
 
 
 def sentences(text: str, model: Model) -> list[tuple[int, int]]:
@@ -491,8 +590,7 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
         if not fixed:
             found = places(text[marker:end])
             if found:
-                tags = model.decode([model.score(p) for p in found])
-                cuts = [marker + p.end for p, y in zip(found, tags, strict=True) if y]
+                cuts = [marker + p.end for p, y in zip(found, model.tags(found), strict=True) if y]
         a = start
         for b in [*cuts, end]:
             piece = text[a:b]
@@ -503,16 +601,26 @@ def sentences(text: str, model: Model) -> list[tuple[int, int]]:
     return out
 
 
-def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 2500) -> Model:
+def fit(df: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = 2500, sample_chars: int = 4_000_000) -> Model:
     """The model of a bounded sample: the ``sample_rows`` documents that come first by the hash of their
-    key and text."""
-    rows = df.where(F.length(F.trim(text)) > 0).select(text).orderBy(F.xxhash64(key, text)).limit(sample_rows)
-    return train(sorted(r[0] for r in rows.collect()))
+    key and text, as far as they hold ``sample_chars`` characters together; a document over the bound is
+    left out of the sample whole. Only sizes are sorted; texts come to the driver after the bound is known."""
+    rows = df.where(F.length(F.trim(text)) > 0).select(F.xxhash64(key, text).alias("h"), F.length(text).alias("size"))
+    left, picked = sample_chars, []
+    for h, size in rows.orderBy("h", "size").limit(sample_rows).collect():
+        if size <= left:
+            left -= size
+            picked.append(h)
+    if not picked:
+        return Model({}, still(), {})
+    hashes = df.sparkSession.createDataFrame([(h,) for h in sorted(set(picked))], "h bigint")  # at most sample_rows
+    texts = df.select(text, F.xxhash64(key, text).alias("h")).where(F.length(text) <= sample_chars).join(F.broadcast(hashes), "h", "left_semi").select(text).distinct()
+    return train(sorted(r[0] for r in texts.collect()))
 
 
 def split_sentences(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, start_pos, end_pos), one row per sentence; a narrow map over the scan, without a shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.moves))
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.moves, model.habits))
     of = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

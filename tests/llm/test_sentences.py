@@ -1,7 +1,10 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +53,69 @@ def test_held_out(model):
     assert right / total > 0.98, right / total
 
 
+@pytest.fixture(scope="module")
+def trained():
+    """The model of the documents of the test data."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    texts = [x for x in pq.read_table(path, columns=["text"]).column(0).to_pylist() if x and x.strip()]
+    return se.train(sorted(texts)), " ".join(texts).lower()
+
+
+#: Sentences whose abbreviations no training text has; each is one sentence.
+UNSEEN = ["The dept. of state.", "The govt. said so.", "Zobacz np. rozdział 2.", "The U.N. charter is old.", "Пример, т. е. образец.", "Ave. Foch is closed.", "Gov. Brown spoke.", "Bldg. 7 is closed.", "He met Gov. Brown in Bldg. 7.", "Siehe Anm. 4 dazu."]
+
+
+def test_abbreviations_that_training_lacks(trained):
+    model, seen = trained
+    assert not any(f" {w.lower()} " in seen for text in UNSEEN for w in text.split()[:-1] if w[-1] == "." and len(w) > 2)
+    got = {text: [text[a:b] for a, b in se.sentences(text, model)] for text in UNSEEN}
+    assert sum(len(x) == 1 for x in got.values()) >= 9, got
+    assert all(len(got[x]) == 1 for x in UNSEEN[:5])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["The", "page", "dept.", "U.N.", "no.", "really?", "stop!", "(see", "p. 3)", "etc.", "“Go.”", "he", "said.", "wait…"]), max_size=12))
+def test_no_sentence_begins_in_lower_case(model, words):
+    text = " ".join(words)
+    assert all(a == 0 or not text[a].islower() for a, _ in se.sentences(text, model))
+
+
+def test_neighbouring_tags_decide(trained):
+    """Somewhere the best sequence isn't what each open character says for itself."""
+    model, differ = trained[0], 0
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"]).column(0).to_pylist():
+        for _, end, fixed, marker in se.blocks(text or ""):
+            found = [] if fixed else se.places(text[marker:end])
+            differ += sum(y != (model.score(p) > 0) for y, p in zip(model.tags(found), found, strict=True))
+    assert differ > 0
+
+
+@pytest.mark.parametrize("part", ["(This is one.) ", "( ", 'He said "yes. ', "A.", "“Yes.” 他说。", "x" * 50 + ". Y "])
+def test_time_is_linear(model, part):
+    def took(n):
+        began = time.process_time()
+        se.sentences(part * n, model)
+        return time.process_time() - began
+
+    took(100)
+    assert took(10_000) < 2.5
+    assert took(20_000) < 4 * max(took(10_000), 0.05)
+
+
+def test_long_tokens_and_sentences_count_whole(model):
+    long = "w" * 300
+    text = f"It names {long}. The next one says “{'very ' * 100}long.” He left."
+    assert [text[a:b] for a, b in se.sentences(text, model)][0] == f"It names {long}."
+
+
+def test_a_model_can_be_stored(model):
+    again = se.Model.from_json(model.to_json())
+    text = " ".join(PARTS)
+    assert se.sentences(text, again) == se.sentences(text, model)
+
+
 def test_blanks_may_be_missing(model):
     text = "The page is blank.Every cell was read.版本已保存。Done"
     assert [text[a:b] for a, b in se.sentences(text, model)] == ["The page is blank.", "Every cell was read.", "版本已保存。", "Done"]
@@ -69,16 +135,17 @@ def test_viterbi_is_best(model):
     rng = random.Random(3)
     for _ in range(200):
         scores = [rng.uniform(-3, 3) for _ in range(rng.randint(1, 8))]
+        gaps = [rng.randint(0, 6) for _ in scores]
 
         def value(tags):
             total, before = 0.0, 1
-            for x, t in zip(scores, tags, strict=True):
-                total += model.moves[before][t] + (x if t else 0)
+            for x, g, t in zip(scores, gaps, tags, strict=True):
+                total += model.moves[g][before][t] + (x if t else 0)
                 before = t
             return total
 
         best = max(value([(k >> i) & 1 for i in range(len(scores))]) for k in range(1 << len(scores)))
-        assert value([int(t) for t in model.decode(scores)]) == pytest.approx(best)
+        assert value([int(t) for t in se.viterbi(scores, gaps, model.moves)]) == pytest.approx(best)
 
 
 def test_wrapped_numbers_are_no_lists(model):
@@ -91,5 +158,6 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, start_pos int")
     got = sorted((r["doc_id"] or 0, r["start_pos"], r["end_pos"]) for r in se.split_sentences(df, se.fit(df)).collect())
     assert got == [(0, 0, 2), (4, 0, 4), (4, 0, 4), (4, 5, 9), (4, 5, 9), (5, 0, 60000)]
+    assert se.fit(df, sample_chars=5).habits.keys() == {"a"}  # texts over the bound are left out whole
     empty = df.limit(0)
     assert se.split_sentences(empty, se.fit(empty)).count() == 0
