@@ -95,13 +95,16 @@ def test_neighbouring_tags_decide(trained):
 @pytest.mark.parametrize("part", ["(This is one.) ", "( ", 'He said "yes. ', "A.", "“Yes.” 他说。", "x" * 50 + ". Y "])
 def test_time_is_linear(model, part):
     def took(n):
-        began = time.process_time()
-        se.sentences(part * n, model)
-        return time.process_time() - began
-
-    took(100)
-    assert took(10_000) < 2.5
-    assert took(20_000) < 4 * max(took(10_000), 0.05)
+        best = 1e9
+        for _ in range(3):
+            began = time.process_time()
+            se.sentences(part * n, model)
+            best = min(best, time.process_time() - began)
+        return best
+
+    small = took(10_000)
+    assert small < 2.5
+    assert took(20_000) < 4 * max(small, 0.05)
 
 
 def test_long_tokens_and_sentences_count_whole(model):
