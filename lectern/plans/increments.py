@@ -11,7 +11,7 @@ from lectern.session import step_dir, table
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return next_units(table(spark, folder, "units"), table(spark, folder, "readings"), table(spark, folder, "state_runs"), f"{step_dir(spark)}/versions-{uuid.uuid4().hex}")
+    return next_units(table(spark, folder, "units").inputFiles(), table(spark, folder, "readings"), table(spark, folder, "state_runs"), f"{step_dir(spark)}/versions-{uuid.uuid4().hex}")
 
 
 QUERIES = {"p4_found": p4_found}
