@@ -25,11 +25,15 @@ def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _scores(spark, folder).select("entry_no", "term", "n", "total", "z")
+
+
+def _scores(spark: SparkSession, folder: str) -> DataFrame:
     return terms.log_odds(terms.record_terms(table(spark, folder, "index_entries")))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return terms.own_terms(p2_scores(spark, folder))
+    return terms.own_terms(_scores(spark, folder))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

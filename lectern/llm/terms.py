@@ -3,10 +3,11 @@
 ``term_form`` is the form in which terms are equal (NFKC, case folding, trimming).
 
 ``suffix_counts`` counts n-grams of term sequences by sorted suffixes: each sequence gives its
-suffixes, truncated to the longest n-gram; they are routed by their first term (and a salt of the
-record, so that a first term which a third of all rows has is spread over several tasks), sorted in
-reverse lexicographic order, and one pass with a stack gives the occurrences and the records of
-every prefix. Parts of a salted term are added up: their records are disjoint.
+suffixes, truncated to the longest n-gram; they are routed by their first term, sorted in reverse
+lexicographic order, and one pass with a stack gives the occurrences and the records of every prefix.
+First terms with more than their share of all suffixes are split by record over several tasks, as many as
+their count asks for; parts of a split term are added up, as their records are disjoint. ``index_terms``
+sends the postings of an index through the same stack.
 
 ``log_odds`` gives each term of a record the log-odds ratio of this record against the rest of the
 collection, with an informative Dirichlet prior from the collection's counts, over its standard error.
@@ -19,12 +20,15 @@ from __future__ import annotations
 
 import re
 import unicodedata as ud
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,105 +50,151 @@ def term_form(terms: pd.Series) -> pd.Series:
     return pd.Series([forms.get(x) for x in terms], dtype=object)
 
 
-def posting_counts(shards: DataFrame) -> DataFrame:
-    """(term, record, n) from rows (term, frequency, postings, built_at) of an index.
+class Stack:
+    """The open prefixes of the last suffix, with the occurrences and records counted for each.
+
+    What a closed prefix has counted goes to the one above it. A record that an open prefix has met before
+    is taken off there, so that it counts once in every prefix: ``opened`` says when each prefix was opened,
+    ``last`` when a record was last met, and the deepest prefix opened before that is the one to correct. So
+    no prefix holds a set of records."""
+
+    def __init__(self) -> None:
+        self.path: list[str] = []
+        self.totals: list[int] = []
+        self.records: list[int] = []
+        self.opened: list[int] = []
+        self.last: dict = {}
+        self.now = 0
+
+    def close(self, down_to: int = 0) -> Iterator[tuple[list[str], int, int]]:
+        while len(self.path) > down_to:
+            yield self.path[:], self.totals[-1], self.records[-1]
+            self.path.pop()
+            self.opened.pop()
+            total, records = self.totals.pop(), self.records.pop()
+            if self.path:
+                self.totals[-1] += total
+                self.records[-1] += records
+        if not self.path:
+            self.last.clear()
+
+    def move(self, terms: list[str]) -> Iterator[tuple[list[str], int, int]]:
+        """Make ``terms`` the open prefix; gives those that this closes."""
+        same = 0
+        while same < len(self.path) and same < len(terms) and self.path[same] == terms[same]:
+            same += 1
+        yield from self.close(same)
+        for term in terms[same:]:
+            self.path.append(term)
+            self.totals.append(0)
+            self.records.append(0)
+            self.opened.append(self.now)
+
+    def count(self, n: int, records: int) -> None:
+        """Occurrences in so many records that no open prefix has met."""
+        self.totals[-1] += n
+        self.records[-1] += records
+
+    def meet(self, record: object, n: int) -> None:
+        """Occurrences in a record."""
+        self.count(n, 1)
+        before = self.last.get(record, -1)
+        held = bisect_right(self.opened, before) - 1
+        if held >= 0:
+            self.records[held] -= 1
+        self.last[record] = self.now
+        self.now += 1
 
-    Terms are brought to one form, postings are exploded, and of the postings that name the same term,
-    record and field only the one of the latest build is kept; the fields of a record are added up. A
-    posting without a count stands for one occurrence. The stored frequency is of no use here: it is
-    null or wrong where it differs from the postings."""
-    one = shards.select(term_form(F.col("term")).alias("term"), "built_at", F.explode("postings").alias("p"))
-    one = one.select("term", "built_at", "p.entry_no", F.coalesce("p.field", F.lit("")).alias("field"), F.greatest(F.coalesce("p.n", F.lit(1)), F.lit(0)).cast("bigint").alias("n"))
-    # one shuffle serves both aggregations; a frequent term is spread by its records
-    one = one.where((F.col("term") != "") & F.col("entry_no").isNotNull()).repartition("term", "entry_no")
-    latest = one.groupBy("term", "entry_no", "field").agg(F.max(F.struct(F.col("built_at"), F.col("n"))).alias("last"))
-    return latest.groupBy("term", F.col("entry_no").alias("record")).agg(F.sum("last.n").alias("n"))
 
+def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> Iterator[tuple[list[str], int, int]]:
+    """(n-gram, occurrences, records) from suffixes (terms, record, n) in reverse lexicographic order."""
+    stack = Stack()
+    for terms, record, n in rows:
+        yield from stack.move(terms[:longest])
+        stack.meet(record, n)
+    yield from stack.close()
+
+
+def _changes(x: pa.Array, before: object) -> np.ndarray:
+    """Where a sorted column differs from the row before, the first row from ``before``."""
+    out = np.ones(len(x), bool)
+    if len(x) > 1:
+        out[1:] = pc.fill_null(pc.not_equal(x[1:], x[:-1]), True).to_numpy(zero_copy_only=False)
+    out[0] = x[0].as_py() != before
+    return out
+
+
+def count_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of single terms from rows (head, salt, record, part, n), sorted by all of these and with what
+    counts first among equal (head, salt, record, part), where only the first counts.
+
+    The records of a term come in order, so the stack is given whole stretches of a batch at once."""
+    stack, salt_now = Stack(), None
+    last: list = [None, None, None, None]
+    for b in batches:
+        if not b.num_rows:
+            continue
+        head, salt, record, part = (b.column(i) for i in range(4))
+        term = _changes(head, last[0]) | _changes(salt, last[1])
+        fresh = term | _changes(record, last[2])
+        kept = fresh | _changes(part, last[3])
+        last = [c[-1].as_py() for c in (head, salt, record, part)]
+        n = np.where(kept, b.column(4).to_numpy(), 0)
+        starts = np.flatnonzero(term)
+        if not len(starts) or starts[0]:
+            starts = np.concatenate(([0], starts))
+        sums, records = np.add.reduceat(n, starts), np.add.reduceat(fresh.astype(np.int64), starts)
+        block: list[tuple[list[str], int, int]] = []
+        for name, part_no, opens, total, many in zip(head.take(pa.array(starts)).to_pylist(), salt.take(pa.array(starts)).to_pylist(), term[starts].tolist(), sums.tolist(), records.tolist(), strict=True):
+            if opens:
+                if part_no != salt_now:
+                    block += stack.close()
+                    salt_now = part_no
+                block += stack.move([name])
+            stack.count(total, many)
+        if block:
+            yield _batch(block)
+    if block := list(stack.close()):
+        yield _batch(block)
 
-def _emit(path: list[str], at: int, total: int, records: set | int) -> tuple[list[str], int, int]:
-    return path[: at + 1], total, records if isinstance(records, int) else len(records)
 
+def _parts(heads: DataFrame, share: int) -> DataFrame:
+    """(head, parts) of the heads that have more than 1 in ``share`` of all, fewer than ``share`` rows, from
+    rows (head, n)."""
+    sums = materialize(heads.groupBy("head").agg(F.sum("n").alias("n")), "heads")
+    every = sums.agg(F.sum("n").alias("every"))
+    return materialize(sums.crossJoin(F.broadcast(every)).where(F.col("n") * share > F.col("every")).select("head", F.ceil(F.col("n") * share / F.col("every")).alias("parts")), "hot")  # every: one row
 
-def stack_counts(rows: Iterator[tuple[list[str], int, int]], longest: int) -> Iterator[tuple[list[str], int, int]]:
-    """(n-gram, occurrences, records) from suffixes (terms, record, n) in reverse lexicographic order.
 
-    The stack holds the open prefixes of the last suffix; what a closed prefix has counted goes to the
-    one above it. With single terms no sets meet, and a record has each term once; there records are counted."""
-    path: list[str] = []
-    totals: list[int] = []
-    records: list = []
-    for terms, record, n in rows:
-        same = 0
-        while same < len(path) and same < len(terms) and path[same] == terms[same]:
-            same += 1
-        while len(path) > same:
-            at = len(path) - 1
-            yield _emit(path, at, totals[at], records[at])
-            total, held = totals.pop(), records.pop()
-            path.pop()
-            if path:
-                totals[-1] += total
-                records[-1] |= held
-        for term in terms[same:]:
-            path.append(term)
-            totals.append(0)
-            records.append(0 if longest == 1 else set())
-        totals[-1] += n
-        if longest == 1:
-            records[-1] += 1
-        else:
-            records[-1].add(record)
-    while path:
-        at = len(path) - 1
-        yield _emit(path, at, totals[at], records[at])
-        total, held = totals.pop(), records.pop()
-        path.pop()
-        if path:
-            totals[-1] += total
-            records[-1] |= held
-
-
-def suffix_counts(sequences: DataFrame, longest: int = 1, salts: int = 8, record: str = "record", terms: str = "terms", n: str = "n", unique: bool = False) -> DataFrame:
+def suffix_counts(sequences: DataFrame, longest: int = 1, share: int = 4096, record: str = "record", terms: str = "terms", n: str = "n", unique: bool = False) -> DataFrame:
     """(terms, frequency, n_records) of every n-gram of at most ``longest`` terms.
 
     sequences: a record, an array of terms, and how often this sequence stands in the record. Equal
     truncated suffixes of a record are added up before they are routed; the stack counts the records.
-    ``unique`` says that no record has
-    a suffix twice. ``salts`` parts are made of each first term; a task holds the records of one open
-    prefix of one part."""
+    ``unique`` says that no record has a suffix twice. A first term with more than 1 in ``share`` of all
+    suffixes is split by record, so that a task holds about that share of records at most."""
     suffixes = sequences.select(F.col(record).alias("record"), F.col(n).cast("bigint").alias("n"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(terms), F.lit(1))), lambda i: F.slice(F.col(terms), i, longest))).alias("s"))
     suffixes = suffixes.where(F.size("s") > 0)
     if not unique:
         suffixes = suffixes.groupBy("record", "s").agg(F.sum("n").alias("n"))
-    routed = suffixes.select(F.col("s")[0].alias("head"), F.pmod(F.xxhash64("record"), F.lit(salts)).alias("salt"), "s", "record", "n")
-    routed = routed.repartition("head", "salt").sortWithinPartitions(F.col("salt"), F.col("s").desc())
+    hot = _parts(suffixes.select(F.col("s")[0].alias("head"), F.lit(1).alias("n")), share)
+    routed = suffixes.withColumn("head", F.col("s")[0]).join(F.broadcast(hot), "head", "left")
+    routed = routed.select("head", F.pmod(F.xxhash64("record"), F.coalesce("parts", F.lit(1))).alias("salt"), "s", "record", "n")
+    routed = routed.repartition("head", "salt").sortWithinPartitions(F.col("salt"), F.col("s").desc(), "record")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, tuple[list[str], int, int]]]:
-            for b in batches:
-                yield from zip(b.column(1).to_pylist(), zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True), strict=True)
-
-        def parts() -> Iterator[tuple[list[str], int, int]]:
-            source = rows()
-            held = next(source, None)
-            while held is not None:
-                salt = held[0]
-
-                def same() -> Iterator[tuple[list[str], int, int]]:
-                    nonlocal held
-                    while held is not None and held[0] == salt:  # noqa: B023
-                        yield held[1]
-                        held = next(source, None)
-
-                yield from stack_counts(same(), longest)
-
-        block: list[tuple[list[str], int, int]] = []
-        for x in parts():
-            block.append(x)
-            if len(block) >= 20_000:
+        stack, salt_now = Stack(), None
+        for b in batches:
+            block: list[tuple[list[str], int, int]] = []
+            for salt, terms_, record_, n_ in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if salt != salt_now:
+                    block += stack.close()
+                    salt_now = salt
+                block += stack.move(terms_)
+                stack.meet(record_, n_)
+            if block:
                 yield _batch(block)
-                block = []
-        if block:
+        if block := list(stack.close()):
             yield _batch(block)
 
     part = routed.mapInArrow(run, "terms array<string>, frequency bigint, n_records bigint")
@@ -156,12 +206,27 @@ def _batch(block: list[tuple[list[str], int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.list_(pa.string())), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["terms", "frequency", "n_records"])
 
 
-def index_terms(shards: DataFrame, rare: int = 3, common: float = 0.1) -> DataFrame:
-    """(term, frequency, n_records, mark) of every term of an index; mark is 'rare' with fewer than
-    ``rare`` records, 'common' with more than the share ``common`` of all records, else null."""
-    counted = materialize(posting_counts(shards), "postings")
-    records = counted.agg(F.countDistinct("record").alias("all_records"))
-    terms = suffix_counts(counted.select("record", F.array("term").alias("terms"), "n"), longest=1, unique=True)
+def index_terms(shards: DataFrame, rare: int = 3, common: float = 0.1, share: int = 4096) -> DataFrame:
+    """(term, frequency, n_records, mark) of every term of an index (term, frequency, postings, built_at);
+    mark is 'rare' with fewer than ``rare`` records, 'common' with more than the share ``common`` of all
+    records, else null.
+
+    Terms are brought to one form. Their postings are the suffixes, of one term each: routed by term (and
+    record, where a term has more than 1 in ``share`` of all postings), sorted, and counted with the stack.
+    Of postings that name the same term, record and field only the one of the latest build counts, of those
+    the one with the greatest n; it comes first in the order. A posting without a count stands for one
+    occurrence, one without a record for nothing; a term without any posting that counts is in no record
+    and gives no row. The stored frequency is of no use: it is null or wrong where it differs from the
+    postings."""
+    rows = shards.where(F.size("postings") > 0).select(term_form("term").alias("head"), "built_at", "postings").where("head <> ''")
+    hot = _parts(rows.select("head", F.size("postings").alias("n")), share)
+    records = rows.select(F.explode(F.array_distinct(F.col("postings.entry_no"))).alias("record")).where("record is not null").agg(F.count_distinct("record").alias("all_records"))
+    one = rows.join(F.broadcast(hot), "head", "left").select("head", "parts", "built_at", F.explode("postings").alias("p")).where("p.entry_no is not null")
+    one = one.select("head", F.pmod(F.xxhash64("p.entry_no"), F.coalesce("parts", F.lit(1))).alias("salt"), F.col("p.entry_no").alias("record"), F.coalesce("p.field", F.lit("")).alias("part"), F.greatest(F.coalesce("p.n", F.lit(1)), F.lit(0)).cast("bigint").alias("n"), "built_at")
+    order = [F.col("salt"), F.col("head").desc(), F.col("record"), F.col("part"), F.col("built_at").desc_nulls_last(), F.col("n").desc()]
+    routed = one.repartition("head", "salt").sortWithinPartitions(*order).select("head", "salt", "record", "part", "n")
+    parts = routed.mapInArrow(count_sorted, "terms array<string>, frequency bigint, n_records bigint")
+    terms = parts.groupBy("terms").agg(F.sum("frequency").alias("frequency"), F.sum("n_records").alias("n_records"))
     mark = F.when(F.col("n_records") < rare, "rare").when(F.col("n_records") > common * F.col("all_records"), "common")
     return terms.crossJoin(F.broadcast(records)).select(F.col("terms")[0].alias("term"), "frequency", "n_records", mark.alias("mark"))  # records: one row
 
@@ -192,8 +257,12 @@ def record_terms(entries: DataFrame, key: str = "entry_no", fields: tuple[str, .
     return own.mapInArrow(run, f"`{key}` {kind}, term string, n bigint, length bigint")
 
 
-def log_odds(counts: DataFrame, key: str = "entry_no", prior: float = 500.0, hot_terms: int = 4000) -> DataFrame:
-    """(key, term, n, total, z) for rows (key, term, n, length).
+#: The weight of the collection's distribution, in terms.
+PRIOR = 500.0
+
+
+def log_odds(counts: DataFrame, key: str = "entry_no", prior: float = PRIOR, hot_terms: int = 4000) -> DataFrame:
+    """(key, term, n, total, z, length, all_n) for rows (key, term, n, length); all_n is the number of all terms.
 
     ``prior`` is the weight of the collection's distribution, in terms. Totals are aggregated before
     the shuffle. The join of totals with rows is split: terms with more than 1 in ``hot_terms`` of all
@@ -206,15 +275,27 @@ def log_odds(counts: DataFrame, key: str = "entry_no", prior: float = 500.0, hot
     few = F.broadcast(totals.where(hot).select("term", "total", "all_n"))
     rest = totals.where(~hot).select("term", "total", "all_n")
     joined = counts.join(few, "term").unionByName(counts.join(few, "term", "left_anti").join(rest, "term"))
-    share = F.col("total") / F.col("all_n") * prior
-    in_record = F.col("n") + share
-    elsewhere = F.col("total") - F.col("n") + share
+    return joined.select(key, "term", "n", "total", z_score(F.col("n"), F.col("total"), F.col("length"), F.col("all_n"), prior).alias("z"), "length", "all_n")
+
+
+def z_score(n: Column, total: Column, length: Column, all_n: Column, prior: float) -> Column:
+    """The z-score of a term that a record of ``length`` terms has ``n`` times, the collection ``total`` times."""
+    share = total / all_n * prior
+    in_record = n + share
+    elsewhere = total - n + share
     floor = F.lit(1e-9)
-    odds = F.log(in_record / F.greatest(F.col("length") + prior - in_record, floor)) - F.log(elsewhere / F.greatest(F.col("all_n") - F.col("length") + prior - elsewhere, floor))
-    return joined.select(key, "term", "n", "total", (odds / F.sqrt(1 / in_record + 1 / elsewhere)).alias("z"))
+    odds = F.log(in_record / F.greatest(length + prior - in_record, floor)) - F.log(elsewhere / F.greatest(all_n - length + prior - elsewhere, floor))
+    return odds / F.sqrt(1 / in_record + 1 / elsewhere)
 
 
-def own_terms(scores: DataFrame, least: int = 3, share: float = 0.25, key: str = "entry_no") -> DataFrame:
+def own_terms(scores: DataFrame, least: int = 3, share: float = 0.25, prior: float = PRIOR, key: str = "entry_no") -> DataFrame:
     """(key, term) of scored terms that occur at least ``least`` times in the record, where these are at
-    least ``share`` of all occurrences."""
-    return scores.where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")) & F.col("z").isNotNull()).select(key, "term")
+    least ``share`` of all occurrences.
+
+    The score selects: a term that has n of its occurrences in a record can have n to n / share in all, so
+    the least score that these give is a bound below which no such term is. Terms under it are dropped, and
+    what is left is tested exactly."""
+    every = F.sequence(F.col("n"), F.floor(F.col("n") / share))
+    bound = F.array_min(F.transform(every, lambda t: z_score(F.col("n"), t, F.col("length"), F.col("all_n"), prior)))
+    found = scores.where(F.col("n") >= least).where(F.col("z") >= bound - 1e-6)
+    return found.where(F.col("n") >= share * F.col("total")).select(key, "term")
