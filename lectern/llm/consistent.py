@@ -11,23 +11,29 @@ ligatures, radicals and letters of other scripts of the same shape, and signs th
 Case, visible accents, digits and punctuation stay.
 
 Look-alikes are first brought to Latin; a word that then still holds a letter only Cyrillic or Greek
-has is given back to that script, a word without any such sign follows the majority of its text. As
-this depends on the Latin form alone, texts of the same look always get the same result.
+has is given back to that script. A word without any such sign follows the majority of its text, if all
+its letters are usual look-alikes of that script and the text has the word in no Latin spelling of another
+case. As this depends on the Latin form alone, texts of the same look always get the same result.
 
 Cases: null stays null, empty stays empty, a text of invisible signs alone becomes empty.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata as ud
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.session import materialize
+
 # Letters of the same shape, each with its Latin one.
 LOOK_ALIKE = {
     "CYRILLIC": dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝҽ", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwe", strict=True)),
@@ -44,7 +50,7 @@ JOINERS = (0x200C, 0x200D)
 LATIN, CYRILLIC, GREEK, WEAK = 1, 2, 3, 4
 #: Latin letters whose twin is usual in Cyrillic or Greek text. Other letters with a twin say
 #: nothing beside a sure letter of the word, but make a word without one Latin.
-USUAL = set("ABEKMHOPCTXYaeopcyx") | set("ABEZHIKMNOPTYXov")
+USUAL = {"CYRILLIC": set("ABEKMHOPCTXYaeopcyx"), "GREEK": set("ABEZHIKMNOPTYXov")}
 
 
 def _shape(cp: int) -> list[int]:
@@ -91,7 +97,10 @@ def tables() -> dict[str, np.ndarray]:
             name = ud.name(ch, "")
             script[cp] = LATIN if name.startswith("LATIN") else CYRILLIC if name.startswith("CYRILLIC") else GREEK if name.startswith("GREEK") else 0
     for cp in images:
-        script[cp] = 0 if chr(cp) in USUAL else WEAK
+        script[cp] = 0 if any(chr(cp) in held for held in USUAL.values()) else WEAK
+    odd = {f"not {s}": np.zeros(top, bool) for s in USUAL}  # letters that make a word without a sure one Latin
+    for s, held in USUAL.items():
+        odd[f"not {s}"][[cp for cp in images if chr(cp) not in held]] = True
     like = np.arange(top, dtype=np.uint32)
     back = {s: np.arange(top, dtype=np.uint32) for s in ("CYRILLIC", "GREEK")}
     for s, pairs in LOOK_ALIKE.items():
@@ -100,7 +109,7 @@ def tables() -> dict[str, np.ndarray]:
             script[ord(a)] = 0
             if s in back and back[s][ord(b)] == ord(b):
                 back[s][ord(b)] = ord(a)
-    return {"flat": np.array(flat, np.uint32), "start": start, "count": count, "one": one, "kind": kind, "ccc": ccc, "script": script, "like": like, **back}
+    return {"flat": np.array(flat, np.uint32), "start": start, "count": count, "one": one, "kind": kind, "ccc": ccc, "script": script, "like": like, **back, **odd}
 
 
 @lru_cache(maxsize=1)
@@ -118,6 +127,22 @@ def _bincount(groups: np.ndarray, mask: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(groups[mask], minlength=n)
 
 
+def _spelt_elsewhere(out: np.ndarray, first: np.ndarray, text_of: np.ndarray, own: np.ndarray, guess: np.ndarray) -> None:
+    """Make words Latin that show no script but stand in the same text in another case that is Latin."""
+    begin = np.flatnonzero(first)
+    end = np.append(begin[1:], len(out))
+    asked = np.flatnonzero((own == 0) & (guess > LATIN) & (end - begin > 1))
+    held: dict[int, set[str]] = {}
+    spell = lambda w: out[begin[w] : end[w]].tobytes().decode("utf-32-le", "surrogatepass").lower()
+    for w in asked.tolist():
+        i = int(text_of[w])
+        if i not in held:
+            lo, hi = np.searchsorted(text_of, [i, i + 1])
+            held[i] = {spell(x) for x in (lo + np.flatnonzero(own[lo:hi] == LATIN)).tolist()}
+        if held[i] and spell(w) in held[i]:
+            guess[w] = LATIN
+
+
 def consistent(texts: list[str]) -> list[str]:
     """The consistent form of each text of a batch."""
     if not texts:
@@ -156,7 +181,11 @@ def consistent(texts: list[str]) -> list[str]:
         text_of = owner[first]
         votes = np.stack([np.bincount(text_of[own == s], minlength=len(texts)) for s in (LATIN, CYRILLIC, GREEK)])
         usual = votes.argmax(axis=0) + 1
-        own = np.where(own == 0, usual[text_of], own)[word]
+        guess = np.where(own == 0, usual[text_of], own)
+        for s, name in ((CYRILLIC, "CYRILLIC"), (GREEK, "GREEK")):
+            guess[(own == 0) & (guess == s) & (np.bincount(word, t[f"not {name}"][out], words) > 0)] = LATIN
+        _spelt_elsewhere(out, first, text_of, own, guess)
+        own = guess[word]
         for s, name in ((CYRILLIC, "CYRILLIC"), (GREEK, "GREEK")):
             pick = (own == s) & inside
             out[pick] = t[name][out[pick]]
@@ -218,15 +247,38 @@ def with_form(df: DataFrame, text: str | Column = "text", name: str = "form") ->
     return df.withColumn(name, consistent_form(F.col(text) if isinstance(text, str) else text))
 
 
+def digest(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _digests(texts: DataFrame) -> DataFrame:
+    """(text, form): digests of the distinct texts of a column and of their forms; texts without a form that
+    can be seen are left out. Nothing but digests leaves the Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short = lambda x: hashlib.sha256(x.encode("utf-8", "surrogatepass")).digest()[:16]
+        for b in batches:
+            own = b.column(0).unique().to_pylist()
+            pairs = [(short(t), short(f)) for t, f in zip(own, consistent(own), strict=True) if f.strip(" ")]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.binary()) for i in (0, 1)], names=["text", "form"])
+
+    return texts.mapInArrow(run, "text binary, form binary").distinct()
+
+
 def look_alike_pairs(left: DataFrame, right: DataFrame, left_id: str, left_text: str, right_id: str, right_text: str) -> DataFrame:
     """Distinct (left_id, right_id) whose texts look the same but differ.
 
-    Both sides are reduced to distinct (id, text) first. Texts are joined on a hash of their form and
-    the form itself; the join only pairs rows of unequal texts. Null, empty and unseen texts are in no pair."""
+    Each side is reduced to its distinct texts and their forms, as digests; forms that both sides have are
+    joined where the texts differ. Ids are attached last, so that every row made there is in the result: no
+    pair of equal texts is ever built, however many rows share one. Null, empty and unseen texts are in no
+    pair."""
 
-    def side(df: DataFrame, key: str, text: str, k: str, t: str) -> DataFrame:
-        rows = df.select(F.col(key).alias(k), F.col(text).alias(t)).where((F.length(t) > 0) & F.col(k).isNotNull()).distinct()
-        return with_form(rows, t, "form").where(F.trim("form") != "")
+    def ids(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        return df.where((F.length(text) > 0) & F.col(key).isNotNull()).select(F.col(key).alias(f"{name}_id"), F.col(text).alias("text"))
 
-    a, b = side(left, left_id, left_text, "a_id", "a_text"), side(right, right_id, right_text, "b_id", "b_text")
-    return a.join(b, "form").where(F.col("a_text") != F.col("b_text")).select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id)).distinct()
+    a, b = ids(left, left_id, left_text, "a"), ids(right, right_id, right_text, "b")
+    one, two = (_digests(x.select("text")).withColumnRenamed("text", f"{n}_text") for x, n in ((a, "a"), (b, "b")))
+    unequal = materialize(one.join(two, "form").where(F.col("a_text") != F.col("b_text")).select("a_text", "b_text"), "unequal")
+    a, b = a.select("a_id", digest(F.col("text")).alias("a_text")), b.select("b_id", digest(F.col("text")).alias("b_text"))
+    return a.join(unequal, "a_text").join(b, "b_text").select(F.col("a_id").alias(left_id), F.col("b_id").alias(right_id)).distinct()

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 import unicodedata
 
-from lectern.llm.consistent import LOOK_ALIKE
 from lectern.plans import sqltext as sq
 
+# Letters that look like a Latin one, by their Unicode names, as pairs "letter = Latin letter". A
+# table of its own, so that a wrong or missing entry of the operator's table shows.
+TWINS = """
+А=A В=B Е=E Ѕ=S І=I Ј=J К=K М=M Н=H О=O Р=P С=C Т=T У=Y Х=X Ү=Y Ԍ=G Ԛ=Q Ԝ=W
+а=a е=e ѕ=s і=i ј=j о=o р=p с=c у=y х=x һ=h ԁ=d ԛ=q ԝ=w ҽ=e
+Α=A Β=B Ε=E Ζ=Z Η=H Ι=I Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Υ=Y Χ=X ο=o ν=v ϲ=c ϳ=j
+Ս=U Օ=O օ=o ս=u ո=n հ=h ց=g ɑ=a ɡ=g
+"""
+
 _COUNTED = f"""with t as (select {sq.normal('term')} as term, built_at, unnest(postings) as p from index_shards where term is not null),
 o as (select term, p.entry_no as record, coalesce(p.field, '') as field, greatest(coalesce(p.n, 1), 0) as n, built_at from t where term <> '' and p.entry_no is not null),
 l as (select *, row_number() over (partition by term, record, field order by built_at desc nulls last, n desc) as k from o),
@@ -27,13 +35,12 @@ def _look(x: str) -> str:
             one, other = one + ch, other + to
         elif 0xFB00 <= cp <= 0xFB06:
             many.append((ch, to))
-    for s in ("CYRILLIC", "GREEK", "ARMENIAN"):
-        for a, b in LOOK_ALIKE[s].items():
-            one, other = one + a, other + b
-            for mark in map(chr, range(0x300, 0x340)):  # letters with an accent in both scripts
-                own, latin = unicodedata.normalize("NFC", a + mark), unicodedata.normalize("NFC", b + mark)
-                if len(own) == len(latin) == 1:
-                    one, other = one + own, other + latin
+    for a, _, b in (x.partition("=") for x in TWINS.split()):
+        one, other = one + a, other + b
+        for mark in map(chr, range(0x300, 0x340)):  # letters with an accent in both scripts
+            own, latin = unicodedata.normalize("NFC", a + mark), unicodedata.normalize("NFC", b + mark)
+            if len(own) == len(latin) == 1:
+                one, other = one + own, other + latin
     out = f"translate(regexp_replace({x}, '[­​-‏⁠-⁤﻿]', '', 'g'), '{one}', '{other}')"
     for ch, to in many:
         out = f"replace({out}, '{ch}', '{to}')"

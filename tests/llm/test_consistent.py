@@ -28,6 +28,15 @@ def test_scripts_stay():
     assert one("क्‍ष 👩‍💻") == "क्‍ष 👩‍💻"
 
 
+def test_words_of_capitals_keep_their_script():
+    rest = "Лист скрыт, но его текст читается полностью"
+    for name in ("pezanopo", "KOKATIKA", "TIBATOPE", "MENAMETI"):  # Z, N and I are no letters of this text
+        assert one(f"{rest} ({name})") == f"{rest} ({name})"
+    assert one(f"{rest}: komate, KOMATE") == f"{rest}: komate, KOMATE"  # k, m and t show that it is Latin
+    assert one(f"{rest}: КОТ") == f"{rest}: КОТ" == one(f"{rest}: KOT")
+    assert one("Το σχόλιο ΤΟΝΕ") == "Το σχόλιο ΤΟΝΕ" == one("Το σχόλιο TONE")
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(max_size=30), max_size=5))
 def test_batches_are_single_texts_and_stable(texts):
@@ -51,6 +60,14 @@ def test_pairs(spark):
     assert co.look_alike_pairs(a.limit(0), b, "unit_id", "text", "entry_id", "body").count() == 0
 
 
+def test_pairs_of_equal_texts_are_never_made(spark):
+    """A text that many rows share meets none of its own kind, only the one that differs."""
+    a = spark.createDataFrame([(f"u{i}", "page") for i in range(400)] + [("v", "раge")], "unit_id string, text string")
+    b = spark.createDataFrame([(f"e{i}", "page") for i in range(400)], "entry_id string, body string")
+    found = co.look_alike_pairs(a, b, "unit_id", "text", "entry_id", "body")
+    assert {r["unit_id"] for r in found.collect()} == {"v"} and found.count() == 400
+
+
 def test_with_form(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "ｘ")], "n int, text string")
     assert [r["form"] for r in co.with_form(df).orderBy("n").collect()] == [None, "", "x"]
