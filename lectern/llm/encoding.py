@@ -2,20 +2,23 @@
 
 Near twins are texts (whole ones and pairs of neighbouring words) that are equal once what isn't ASCII
 is stripped. Each variant of such a group is joined with the most frequent one, the two are aligned at
-their ASCII characters, and each pair of differing stretches is explained by a transformation: the
-encoding that the text had and the one that it was read with. Transformations that explain several
-different stretches are learned; they are then applied to all texts, also those without a twin:
+their ASCII characters, and the stretches between give a table of mappings: what stands for what, and how
+many pairs of twins say so. Mappings are explained by transformations (the encoding that a text had and the
+one that it was read with); those that explain several mappings are learned, and extend the table to the
+characters that no twin has. A mapping that none explains isn't used: twins also differ in what isn't garbled.
+The transformations are then applied to all texts, also those without a twin:
 
 - a text that was UTF-8 holds, in the bytes of the encoding it was read with, sequences that are valid
-  UTF-8 and give characters that the collection knows; these are undone, again if they were read
-  wrongly more than once;
-- other encodings leave no such sign; there a word is taken as garbled if undoing a learned
-  transformation gives a word more frequent in the collection than itself;
-- replacement characters show that a text was read wrongly, though what they stood for is lost.
+  UTF-8 and give characters that the collection knows; these are undone, until none is left;
+- other encodings leave no such sign; there a word is taken as garbled if undoing a transformation gives a
+  word more frequent in the collection than itself, and a whole text if all it gives is usual in the
+  collection (bytes of one character may be ASCII and stand between words);
+- replacement characters are mapped to an unknown sign: they show that a text was read wrongly.
 
 Groups of twins are aggregated to (key, variant, count) and joined with one row per key, so a frequent
-key costs as many rows as it has variants, never their pairs. What is broadcast is bounded: learned
-transformations (fewer than the pairs of ``ENCODINGS``) and the characters in use.
+key costs as many rows as it has variants, never their pairs. Words and evidence refer to texts by a digest.
+What is broadcast is bounded: transformations (fewer than the pairs of ``ENCODINGS``) and the characters in
+use.
 
 Cases: null and empty texts aren't found; repeated rows are found once; an empty table gives an empty
 result; texts are processed whole.
@@ -23,6 +26,8 @@ result; texts are processed whole.
 
 from __future__ import annotations
 
+import codecs
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 from lectern.session import materialize
 
 # The encodings considered.
-ONE_BYTE = ("latin-1", "cp1252", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "cp1250", "cp1253", "cp1254", "mac-cyrillic")
+ONE_BYTE = ("cp1252", "latin-1", "cp1251", "koi8-r", "mac-roman", "cp437", "cp850", "cp866", "cp1250", "cp1253", "cp1254", "mac-cyrillic")
 MORE_BYTES = ("gb18030", "cp932", "big5", "euc-kr", "euc-jp")
 ENCODINGS = ("utf-8", *ONE_BYTE, *MORE_BYTES)
 LOST = "�"
@@ -53,8 +58,8 @@ def _bytes_of(encoding: str) -> dict[str, int]:
         except UnicodeDecodeError:
             ch = chr(b)
         out.setdefault(ch, b)
-    if encoding == "cp1252":
-        for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D):
+    if encoding == "cp1252":  # readers of Latin-1 differ in whether these bytes are signs or controls
+        for b in range(0x80, 0xA0):
             out[chr(b)] = b
     return out
 
@@ -98,7 +103,8 @@ def twin_keys(text: str) -> Iterator[tuple[str, str]]:
     """(key, variant): the text stripped of what isn't ASCII, and the text itself; digits don't matter.
     Once for the whole text (with the size of each stretch), and for each word with a neighbour."""
     whole = re.sub(r"[0-9]+", "#", text)
-    yield "=" + STRETCH.sub(lambda m: f"<{weight(m.group())}>", whole), whole
+    if sum(map(len, re.findall(r"[A-Za-z]+", whole))) >= 3:  # else there is nothing to align at
+        yield "=" + STRETCH.sub(lambda m: f"<{weight(m.group())}>", whole), whole
     words = WORD.findall(whole)
     for i, w in enumerate(words):
         if w.isascii():
@@ -161,27 +167,45 @@ def twins(texts: DataFrame) -> DataFrame:
     return joined.where(F.col("variant") != F.col("usual")).groupBy("variant", "usual").agg(F.bool_or(F.col("n") < F.col("most")).alias("rarer"))
 
 
-def learn(texts: DataFrame, least: int = 3) -> list[tuple[str, str]]:
-    """Transformations that explain at least ``least`` different pairs of aligned stretches, most first.
-
-    A stretch that several transformations explain counts for each; one whose stretches another with
-    more support explains as well adds nothing and is left out."""
+def mappings(texts: DataFrame) -> DataFrame:
+    """(garbled, clean, rarer, n) of aligned stretches of twins: how many pairs of twins show them, and whether
+    the garbled one is the rarer in one of them."""
 
     def infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = set()
+            rows = []
             for v, u, rarer in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                pairs = align(v, u)
+                if not pairs:
+                    continue
                 if sound(u):
-                    pairs |= {(x, y, rarer) for x, y in align(v, u)}
+                    rows += [(x, y, rarer) for x, y in set(pairs) if LOST not in x]
                 elif sound(v):  # the garbled one may be the usual one; what was UTF-8 shows that itself
-                    pairs |= {(x, y, False) for x, y in align(u, v)}
-            rows = [(was, read_as, x, y) for x, y, rarer in pairs if LOST not in x for was, read_as in explain(x, y) if rarer or was == "utf-8"]
-            yield _spell(b, rows, [("was", S), ("read_as", S), ("garbled", S), ("clean", S)])
-
-    seen = twins(texts).mapInArrow(infer, "was string, read_as string, garbled string, clean string").distinct()
-    seen = materialize(seen, "explained")
-    # which sets of transformations explain a pair, and how many pairs each set has: bounded by ENCODINGS
-    sets = seen.groupBy("garbled", "clean").agg(F.array_sort(F.collect_set(F.concat_ws("|", "was", "read_as"))).alias("by")).groupBy("by").agg(F.count("*").alias("n"))
+                    rows += [(y, x, False) for x, y in set(pairs) if LOST not in y]
+            yield _spell(b, rows, [("garbled", S), ("clean", S), ("rarer", pa.bool_())])
+
+    # pairs are spread evenly, whatever their key
+    pairs = twins(texts).repartition(texts.sparkSession.sparkContext.defaultParallelism, "variant")
+    return pairs.mapInArrow(infer, "garbled string, clean string, rarer boolean").groupBy("garbled", "clean").agg(F.bool_or("rarer").alias("rarer"), F.count("*").alias("n"))
+
+
+def learn(table: DataFrame, least: int = 3) -> list[tuple[str, str]]:
+    """Transformations that explain at least ``least`` different mappings, most first.
+
+    A mapping that several transformations explain counts for each; one whose mappings another with more
+    support explains as well adds nothing and is left out."""
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for x, y, rarer in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                by = sorted(f"{was}|{read_as}" for was, read_as in explain(x, y) if rarer or was == "utf-8")
+                if by:
+                    rows.append((by,))
+            yield _spell(b, rows, [("by", pa.list_(S))])
+
+    # which sets of transformations explain a mapping, and how many mappings each set has: bounded by ENCODINGS
+    sets = table.select("garbled", "clean", "rarer").mapInArrow(explained, "`by` array<string>").groupBy("by").agg(F.count("*").alias("n"))
     left = {tuple(r["by"]): r["n"] for r in sets.collect()}
     return [(a, b) for x in chosen(left, least) for a, _, b in [x.partition("|")]]
 
@@ -222,10 +246,20 @@ def _valid(raw: bytes) -> list[tuple[int, int]]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _lead(read_as: str) -> re.Pattern:
+    """What a sequence of UTF-8 begins with, as read in a one-byte encoding: a lead and a further byte."""
+    of = _bytes_of(read_as)
+    kind = lambda lo, hi: "[" + "".join(re.escape(c) for c, b in of.items() if lo <= b <= hi) + "]"
+    return re.compile(kind(0xC2, 0xF4) + kind(0x80, 0xBF))
+
+
 def undo_utf8(text: str, read_as: str, known: set[str]) -> str:
     """``text`` with each sequence undone that was UTF-8 and read in ``read_as``, where the result is made
     of characters in use."""
     if read_as in ONE_BYTE:
+        if not _lead(read_as).search(text):
+            return text
         of = _bytes_of(read_as)
 
         def fix(m: re.Match) -> str:
@@ -266,22 +300,23 @@ def undo_utf8(text: str, read_as: str, known: set[str]) -> str:
     return re.sub(r"[^\x00-\x7f�]+", fix_wide, text)
 
 
-def undo_all(text: str, readings: list[str], known: set[str], times: int = 3) -> str:
-    """Undo learned readings of UTF-8; up to ``times`` one over the other. The reading that undoes most goes first."""
-    for _ in range(times):
+def undo_all(text: str, readings: list[str], known: set[str]) -> str:
+    """Undo learned readings of UTF-8, one over the other, until none is left (each makes the text take fewer bytes).
+    The reading that undoes most goes first."""
+    while True:
         best = text
         for read_as in readings:
             out = undo_utf8(text, read_as, known)
             if out != text and (best == text or len(STRETCH.sub(lambda m: "x" * len(m.group()), out)) < len(best)):
                 best = out
-        if best == text:
-            break
+        if len(best.encode("utf-8", "replace")) >= len(text.encode("utf-8", "replace")):
+            return text
         text = best
-    return text
 
 
-def characters(texts: DataFrame, least: int = 2) -> set[str]:
-    """Characters beyond ASCII that at least ``least`` texts hold; bounded by Unicode."""
+def characters(texts: DataFrame, least: int = 2) -> dict[str, int]:
+    """Characters beyond ASCII that at least ``least`` texts hold, and how many do; bounded by Unicode. The
+    empty string has the number of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,8 +326,13 @@ def characters(texts: DataFrame, least: int = 2) -> set[str]:
                     counts[c] = counts.get(c, 0) + 1
             yield _spell(b, list(counts.items()), [("ch", S), ("n", pa.int64())])
 
-    rows = texts.mapInArrow(run, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["ch"] for r in rows.collect()}
+    rows = texts.select("text").mapInArrow(run, "ch string, n bigint").groupBy("ch").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return {r["ch"]: r["n"] for r in rows.collect()} | {"": texts.count()}
+
+
+def beyond(text: str) -> set[str]:
+    """The different characters beyond ASCII of a text."""
+    return {c for c in text if c > "\x7f"}
 
 
 def signs(word: str) -> int:
@@ -305,56 +345,109 @@ def words_of(text: str) -> list[str]:
     return sorted({w for w in WORD.findall(text) if not w.isascii()} | {x for x in STRETCH.findall(text) if len(x) >= 3})
 
 
-def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], least: int = 3) -> DataFrame:
-    """(text, votes, changed) of texts with words that a transformation other than from UTF-8 explains.
+@lru_cache(maxsize=None)
+def _charmap(encoding: str) -> dict[int, int]:
+    return {ord(c): b for c, b in _bytes_of(encoding).items()}
+
+
+#: What stands for a character that an encoding lacks; no word has it.
+NONE = "\x01"
+codecs.register_error("lectern-none", lambda e: (NONE.encode() if isinstance(e, UnicodeEncodeError) else LOST, e.end))
+
+
+def undo_each(words: list[str], was: list[str], read_as: str) -> Iterator[tuple[int, str, str]]:
+    """(index, encoding, what the word was) for words, if they were encoded in one of ``was`` and read in
+    ``read_as``. All words go through a codec at once."""
+    joined = "\n".join(words)
+    raw = codecs.charmap_encode(joined, "lectern-none", _charmap(read_as))[0] if read_as in ONE_BYTE else joined.encode(read_as, "lectern-none")
+    lines = raw.split(b"\n")
+    if len(lines) != len(words):  # a codec has taken a line break for part of a character
+        lines = [to_bytes(w, read_as) or NONE.encode() for w in words]
+    good = [i for i, x in enumerate(lines) if NONE.encode() not in x]
+    if not good:
+        return
+    raw = b"\n".join(lines[i] for i in good)
+    for name in was:
+        outs = raw.decode(name, "replace").split("\n")
+        if len(outs) != len(good):
+            outs = [lines[i].decode(name, "replace") for i in good]
+        for i, out in zip(good, outs, strict=True):
+            if out != words[i] and LOST not in out and not out.isascii():
+                yield i, name, out
+
+
+def whole_text(text: str, applied: list[tuple[str, str]], counts: dict[str, int], least: int) -> tuple[str, int] | None:
+    """What a text was, if a transformation gives it as a whole, and how many of its characters that changes.
+
+    The bytes of one character may be ASCII, so what has changed isn't words. All signs that come out have to
+    be known, and more usual than those they come from: on the average if the bytes have to be valid, each
+    ten times if any bytes are."""
+    best = None
+    own = [c for c in text if c > "\x7f"]
+    usual = lambda cs: sum(math.log(counts.get(c, 1) / (counts[""] + 1)) for c in cs)
+    for was, read_as in applied:
+        out = undo(text, was, read_as)
+        if out is None or LOST in out:
+            continue
+        new = [c for c in out if c > "\x7f"]
+        used = len(text) - len(out) + len(new)
+        if used < least or not new or not all(c in counts for c in new):
+            continue
+        if was in MORE_BYTES:
+            if usual(new) <= usual(own):
+                continue
+        elif len(new) != len(own) or not all(counts[y] >= 10 * counts.get(x, 1) for x, y in zip(own, new, strict=True)):
+            continue
+        if best is None or usual(new) > best[2]:
+            best = out, used, usual(new)
+    return best and best[:2]
+
+
+def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], counts: dict[str, int], least: int = 3) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """(key, votes, changed) of texts (key, text) with words that a transformation other than from UTF-8
+    explains, and the transformations that are applied.
 
     A word counts as garbled if what it was is more frequent. A transformation is applied if it was
-    learned from twins, or if it explains as many different words as learning asks for (words whose bytes
-    are partly ASCII have no stripped twin), in texts where it explains three signs beyond ASCII or more.
-    One or two signs prove nothing alone: a text needs three, in one word or in several, that one applied
-    transformation explains."""
+    learned from twins, or if it explains as many different words as learning asks for, in texts where it
+    explains three signs beyond ASCII or more. One or two signs prove nothing alone: a text needs three, in
+    one word or in several, that one applied transformation explains. Only characters in use come out."""
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(t, w) for t in b.column(0).to_pylist() for w in words_of(t)]
-            yield _spell(b, rows, [("text", S), ("word", S)])
+            rows = [(k, w) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for w in words_of(t)]
+            yield _spell(b, rows, [("key", pa.binary()), ("word", S)])
+
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(counts))
 
     def undone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         for b in batches:
-            rows = []
-            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                outs: dict[str, list[str]] = {}
-                for read_as in ENCODINGS[1:]:
-                    raw = to_bytes(w, read_as)
-                    for was in ENCODINGS[1:] if raw else ():
-                        if was != read_as:
-                            try:
-                                out = raw.decode(was)
-                            except UnicodeDecodeError:
-                                continue
-                            if out != w and not out.isascii() and LOST not in out:
-                                outs.setdefault(out, []).append(f"{was}|{read_as}")
-                size = signs(w)
-                rows += [(w, n, size, out, by) for out, by in outs.items()]
+            own, many = b.column(0).to_pylist(), b.column(1).to_pylist()
+            outs: dict[tuple[int, str], list[str]] = {}
+            for read_as in ENCODINGS[1:] if own else ():
+                for i, was, out in undo_each(own, [x for x in ENCODINGS[1:] if x != read_as], read_as):
+                    outs.setdefault((i, out), []).append(f"{was}|{read_as}")
+            rows = [(own[i], many[i], signs(own[i]), out, by) for (i, out), by in outs.items() if known.issuperset(beyond(out))]
             yield _spell(b, rows, [("word", S), ("n", pa.int64()), ("size", pa.int64()), ("was", S), ("by", pa.list_(S))])
 
-    of_text = texts.mapInArrow(words, "text string, word string")
-    counts = materialize(of_text.groupBy("word").agg(F.count("*").alias("n")), "words")
+    of_text = materialize(texts.mapInArrow(words, "key binary, word string"), "words")
+    count = materialize(of_text.groupBy("word").agg(F.count("*").alias("n")), "counts")
     # few rows, but each is tried with every pair of encodings
-    guesses = counts.repartition(texts.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(undone, "word string, n bigint, size bigint, was string, `by` array<string>")
-    better = guesses.join(counts.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was").where((F.col("was_n") > F.col("n")) & (F.col("was_n") > 1))
+    guesses = count.repartition(texts.sparkSession.sparkContext.defaultParallelism, "word").mapInArrow(undone, "word string, n bigint, size bigint, was string, `by` array<string>")
+    better = guesses.join(count.select(F.col("word").alias("was"), F.col("n").alias("was_n")), "was").where((F.col("was_n") > F.col("n")) & (F.col("was_n") > 1))
     better = materialize(better, "undone")
     # signs of a text that each transformation explains, over all its words
     explained = of_text.join(better.select("word", "size", "was", F.explode("by").alias("x")), "word")
-    evidence = explained.groupBy("text", "x").agg(F.sum("size").alias("size"), F.collect_list(F.struct("word", "was")).alias("words")).where("size >= 3")
+    evidence = explained.groupBy("key", "x").agg(F.sum("size").alias("size"), F.collect_list(F.struct("word", "was")).alias("words")).where("size >= 3")
     evidence = materialize(evidence, "evidence")
     # sets of transformations that explain a word: bounded by ENCODINGS
     sets = evidence.select("x", F.inline("words")).groupBy("word", "was").agg(F.array_sort(F.collect_set("x")).alias("by")).groupBy("by").agg(F.count("*").alias("n"))
     left = {tuple(r["by"]): r["n"] for r in sets.collect()}
     applied = {f"{a}|{b}" for a, b in learned} | set(chosen(left, least))
-    best = better.where(F.arrays_overlap("by", F.array(*[F.lit(x) for x in sorted(applied)]))).groupBy("word").agg(F.max(F.struct("was_n", "was")).alias("best"), F.max("size").alias("size"), F.max_by("by", F.struct("was_n", "was")).alias("by")).select("word", "size", "by")
-    hit = of_text.join(best, "word").groupBy("text").agg(F.collect_list(F.struct("size", "by")).alias("votes"), F.sum("size").alias("changed"))
-    whole = evidence.where(F.col("x").isin(sorted(applied))).select("text").distinct()
-    return hit.join(whole, "text", "left_semi").select("text", "votes", "changed")
+    best = better.where(F.arrays_overlap("by", F.array(*[F.lit(x) for x in sorted(applied)]))).groupBy("word").agg(F.max("size").alias("size"), F.max_by("by", F.struct("was_n", "was")).alias("by"))
+    hit = of_text.join(best, "word").groupBy("key").agg(F.collect_list(F.struct("size", "by")).alias("votes"), F.sum("size").alias("changed"))
+    whole = evidence.where(F.col("x").isin(sorted(applied))).select("key").distinct()
+    return hit.join(whole, "key", "left_semi").select("key", "votes", "changed"), [(a, b) for x in sorted(applied) for a, _, b in [x.partition("|")]]
 
 
 def undo_words(text: str, votes: list[dict]) -> str:
@@ -380,37 +473,46 @@ def changed(text: str, out: str) -> int:
 
 def garbled_texts(paragraphs: DataFrame, text: str = "text", least: int = 3) -> DataFrame:
     """(text, restored) of the distinct garbled texts; restored is null where signs are lost."""
-    texts = materialize(paragraphs.select(F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")).distinct(), "texts")
-    learned = learn(texts, least)
+    texts = paragraphs.select(F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")).distinct()
+    texts = materialize(texts.select(F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("key"), "text"), "texts")
+    table = materialize(mappings(texts.select("text")), "mappings")
+    learned = learn(table, least)
     from_utf8 = [b for a, b in learned if a == "utf-8"]
-    other = [(a, b) for a, b in learned if a != "utf-8"]
+    counts = characters(texts)
+    by_word, applied = garbled_words(texts, [(a, b) for a, b in learned if a != "utf-8"], counts, least)
+    by_word = materialize(by_word, "garbled")
     spark = paragraphs.sparkSession
-    shared = spark.sparkContext.broadcast((from_utf8, characters(texts)))
+    shared = spark.sparkContext.broadcast((from_utf8, counts, applied))
+    schema = [("key", pa.binary()), ("restored", S), ("changed", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings, known = shared.value
+        readings, known, pairs = shared.value
         for b in batches:
             rows = []
-            for t in b.column(0).to_pylist():
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out = undo_all(t, readings, known)
                 if out != t or LOST in t:
                     most = 1_000_000 if 2 * changed(t, out) >= signs(t) else 0
-                    rows.append((t, None if LOST in out else out, most + changed(t, out)))
-            yield _spell(b, rows, [("text", S), ("restored", S), ("changed", pa.int64())])
+                    rows.append((k, None if LOST in out else out, most + changed(t, out)))
+                elif (found := whole_text(t, pairs, known, least)) is not None:
+                    rows.append((k, found[0], found[1]))
+            yield _spell(b, rows, schema)
 
     def run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        readings, known = shared.value
+        readings, known, pairs = shared.value
         for b in batches:
             rows = []
-            for t, votes, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                out = undo_all(undo_words(t, votes), readings, known)
-                rows.append((t, None if LOST in t or LOST in out else out, n))
-            yield _spell(b, rows, [("text", S), ("restored", S), ("changed", pa.int64())])
-
-    found = texts.mapInArrow(run, "text string, restored string, changed bigint")
-    found = found.unionByName(garbled_words(texts, other, least).mapInArrow(run_words, "text string, restored string, changed bigint"))
+            for k, t, votes, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = whole_text(t, pairs, known, least)
+                out = undo_all(found[0] if found else undo_words(t, votes), readings, known)
+                rows.append((k, None if LOST in t or LOST in out else out, n + bool(found)))
+            yield _spell(b, rows, schema)
+
+    types = "key binary, restored string, changed bigint"
+    found = texts.mapInArrow(run, types).unionByName(texts.join(by_word, "key").select("key", "text", "votes", "changed").mapInArrow(run_words, types))
     # of two explanations that from UTF-8 holds if it covers half of the text, else the one that covers more
-    return found.groupBy("text").agg(F.max_by("restored", F.struct("changed", "restored")).alias("restored"))
+    found = found.groupBy("key").agg(F.max_by("restored", F.struct("changed", "restored")).alias("restored"))
+    return texts.join(found, "key").select("text", "restored")
 
 
 def paragraphs_of(sources: DataFrame) -> DataFrame:
@@ -420,5 +522,5 @@ def paragraphs_of(sources: DataFrame) -> DataFrame:
 
 def garbled_paragraphs(sources: DataFrame, least: int = 3) -> DataFrame:
     """(source_id, para_id, text, restored) of garbled paragraphs, each once."""
-    rows = paragraphs_of(sources).where(F.length("text") > 0).distinct()
+    rows = materialize(paragraphs_of(sources).where(F.length("text") > 0).distinct(), "paragraphs")
     return rows.join(garbled_texts(rows, least=least), "text").select("source_id", "para_id", "text", "restored")

@@ -57,6 +57,40 @@ def test_paragraphs_edges(spark):
     assert en.garbled_paragraphs(df.limit(0)).count() == 0
 
 
+def test_signs_that_are_ascii_bytes_in_part(spark):
+    """Bytes of one character may be letters, digits or brackets; the transformation is learned from others."""
+    japanese = ["ファイル{n}は本文の中に二回出てきます。", "セル{n}には数式があり、結果は保存されていません。", "{n}ページ目には図だけがあります。", "Requirement notesは{n} Requirement notesに。", "Requirement notesが{n} Requirement notesと。"]
+    clean = [t.format(n=n) for t in japanese for n in "abcdefghijkl"]
+    polish = ["Na stronie {n} znajduje się tylko rysunek.", "Strona {n} nie ma ani żadnego tytułu.", "Página {n} não é a última página", "La página {n} no está vacía"]
+    clean += [t.format(n=n) for t in polish for n in "abcdefghijkl"]
+    want = {garble(t.format(n=n), was, "cp1252"): t.format(n=n) for was, texts in (("cp932", japanese), ("gb18030", polish)) for t in texts for n in "yz"}
+    got = {r["text"]: r["restored"] for r in en.garbled_texts(spark.createDataFrame([(t,) for t in [*clean, *want]], "text string")).collect()}
+    assert not set(got) & set(clean)
+    assert len(set(got) & set(want)) >= 0.9 * len(want) and all(got[t] == want[t] for t in got)
+
+
+def test_wrong_more_than_three_times():
+    text = "Für"
+    for _ in range(5):
+        text = garble(text, "utf-8", "cp1252")
+    known = {c for t in ["Für"] for c in en.beyond(t)} | {c for c in map(chr, range(0x80, 0x3000))}
+    assert en.undo_all(text, ["cp1252"], known) == "Für"
+
+
+def test_words_are_undone_together():
+    words = ["relevé", "Значение", "中文", "¨¢", "ŽŠ", "xy"]
+    for read_as in en.ENCODINGS[1:]:
+        others = [x for x in en.ENCODINGS[1:] if x != read_as]
+        want = {(i, was, out) for i, w in enumerate(words) for was in others for out in [en.undo(w, was, read_as)] if out and not out.isascii() and en.LOST not in out}
+        assert set(en.undo_each(words, others, read_as)) == want
+
+
+def test_mappings(spark):
+    texts = [f"Le titre {n} a été relevé" for n in "abc"] * 2 + [f"Le titre {n} a Ã©tÃ© relevÃ©" for n in "abc"]
+    rows = {(r["garbled"], r["clean"]) for r in en.mappings(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert rows == {("Ã©", "é")}
+
+
 def test_alignment_and_explanation():
     assert en.align("relevÃ©", "relevé") == [("Ã©", "é")]
     assert en.align("a", "b") == []
