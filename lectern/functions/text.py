@@ -14,8 +14,25 @@ from pyspark.sql import types as T
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 #: A clause ends after full-width marks, after . ! ? before white space or the end, after line feeds.
 CLAUSE_END = r"(?U)(?<=[。！？])(?![。！？])|(?<=[.!?])(?=\s|$)|(?<=\n)(?!\n)"
-HAN = "㐀-鿿"
-RUN = re.compile(rf"[{HAN}]+|(?:(?![{HAN}])[^\W_])+(?:[_.:/+\-](?:(?![{HAN}])[^\W_])+)*")
+# Han signs that have tokens of their own, signs that join the parts of a word, and endings in s
+# that are no plural.
+HAN = range(0x3400, 0xA000)
+JOINERS = "_.:/+-"
+NO_PLURAL = ("ss", "us", "is")
+
+
+class _Classes(dict):
+    """The class of each code point: h Han, a letter or digit, j joiner, - else. Looked up once per code point."""
+
+    def __missing__(self, code: int) -> str:
+        ch = chr(code)
+        self[code] = found = "h" if code in HAN else "j" if ch in JOINERS else "a" if ch.isalnum() else "-"
+        return found
+
+
+CLASSES = _Classes()
+#: Tokens as they show in the classes of a text.
+SPAN = re.compile("h+|a+(?:ja+)*")
 
 
 def normal(text: str) -> str:
@@ -23,22 +40,31 @@ def normal(text: str) -> str:
     return unicodedata.normalize("NFKC", text).casefold().strip()
 
 
+def han_tokens(run: str, singles: bool) -> list[str]:
+    """A run of Han signs, its pairs of neighbours, and single signs if asked for."""
+    pairs = map("".join, zip(run, run[1:], strict=False))
+    return [run, *pairs, *(run if singles else ())]
+
+
+def word_forms(word: str) -> list[str]:
+    """A word in lower case, and its singular where it looks like a plural."""
+    word = word.casefold()
+    plural = len(word) > 3 and word.endswith("s") and not word.endswith(NO_PLURAL)
+    return [word, word[:-1]] if plural else [word]
+
+
 def token_list(text: str, indexing: bool = True) -> list[str]:
     """Search tokens: Han runs with their bigrams (and single signs where an index is built or the run has
-    one), other words with inner joiners; a plural word also counts as its singular."""
-    out: list[str] = []
-    for run in RUN.findall(text if text.isascii() else unicodedata.normalize("NFKC", text)):
-        if "㐀" <= run[0] <= "鿿":
-            out.append(run)
-            out += [run[i : i + 2] for i in range(len(run) - 1)]
-            if indexing or len(run) == 1:
-                out += run
-            continue
-        word = run.casefold()
-        out.append(word)
-        if len(word) > 3 and word[-1] == "s" and word[-2:] not in ("ss", "us", "is"):
-            out.append(word[:-1])
-    return out
+    one), other words with inner joiners; a plural word also counts as its singular.
+
+    The text is translated to character classes first, and spans are found there."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    kinds = text.translate(CLASSES)
+    found = []
+    for a, b in (m.span() for m in SPAN.finditer(kinds)):
+        found += han_tokens(text[a:b], indexing or b - a == 1) if kinds[a] == "h" else word_forms(text[a:b])
+    return found
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +28,13 @@ def versions(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("version", F.dense_rank().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def chain_violations(rows: DataFrame, key: list[str], order: list[str], revision: str, digest: str) -> DataFrame:
-    """Rows of an ordered journal whose revision doesn't grow, or that have no digest or that of another row."""
+def chain_violations(rows: DataFrame, key: list[str], order: list[str], revision: str, digest: str, previous: str | None = None) -> DataFrame:
+    """Rows of an ordered journal whose revision doesn't grow, that have no digest or that of another row, or (if
+    rows name it) another previous digest than that of the row before."""
     w = Window.partitionBy(*key).orderBy(*order) if key else Window.orderBy(*order)  # a journal without key has one writer
     rule = F.when(F.col(digest).isNull(), "no digest").when(F.col("__before").isNotNull() & (F.col(revision) <= F.col("__before")), "revision doesn't grow").when(F.col("__same") == F.col(digest), "digest repeated")
+    if previous is not None:
+        rule = F.when(~F.col(previous).eqNullSafe(F.col("__same")), "previous digest").otherwise(rule)
     checked = rows.withColumn("__before", F.lag(revision).over(w)).withColumn("__same", F.lag(digest).over(w)).withColumn("rule", rule)
     return checked.where("rule is not null").drop("__before", "__same")
 
@@ -61,31 +66,33 @@ def next_batch(covered: DataFrame, stage: str, order: list[str], limit: int = 8)
     return rows.crossJoin(F.broadcast(total)).withColumn("remaining", F.greatest(F.col("pending") - limit, F.lit(0))).drop("pending")  # total: one row
 
 
-def closure(edges: DataFrame, start: DataFrame | None = None, most: int = 200) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame | None = None, every: int = 8) -> DataFrame:
     """(id, ancestor) of a graph (child, parent), the own id included; cycles end it.
 
     Semi-naive: each round joins only what the last one found, and leaves out what is known. Rounds are
-    written to the shared folder, so lineage stays short and lost executors cost one round."""
+    written to the shared folder, so lineage stays short and lost executors cost one round; what is known is
+    written together every few rounds. It goes on until a round finds nothing, however deep the graph is."""
     edges = materialize(edges.select("child", "parent").distinct(), "edges")
     ids = start.select("id") if start is not None else edges.select(F.col("child").alias("id")).union(edges.select("parent"))
     known = fresh = materialize(ids.distinct().select("id", F.col("id").alias("ancestor")), "closure")
-    for _ in range(most):
+    for n in itertools.count(1):
         step = fresh.join(edges, fresh["ancestor"] == edges["child"]).select("id", F.col("parent").alias("ancestor")).distinct()
         fresh = materialize(step.join(known, ["id", "ancestor"], "left_anti"), "closure")
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)
-    raise RuntimeError("the graph is deeper than the number of rounds")
+        if n % every == 0:
+            known = materialize(known, "closure")
 
 
-def spread(seeds: DataFrame, depends: DataFrame, most: int = 200) -> DataFrame:
+def spread(seeds: DataFrame, depends: DataFrame, every: int = 8) -> DataFrame:
     """(id, reason) for all that is stale: seeds (id, reason), and whatever depends (id, on) on stale things,
     to a fixed point; cycles end it. Each stale dependency is a reason of its own."""
     depends = materialize(depends.select("id", "on").distinct(), "depends")
     reasons = materialize(seeds.select("id", "reason").distinct(), "stale")
     fresh = reasons.select("id").distinct()
     stale = fresh
-    for _ in range(most):
+    for n in itertools.count(1):
         hit = depends.join(fresh.withColumnRenamed("id", "on"), "on").select("id", F.concat(F.lit("depends on "), F.col("on")).alias("reason"))
         hit = materialize(hit.distinct(), "stale")
         reasons = reasons.unionByName(hit)
@@ -93,7 +100,8 @@ def spread(seeds: DataFrame, depends: DataFrame, most: int = 200) -> DataFrame:
         if fresh.isEmpty():
             return reasons.distinct()
         stale = stale.unionByName(fresh)
-    raise RuntimeError("dependencies are deeper than the number of rounds")
+        if n % every == 0:
+            stale, reasons = materialize(stale, "stale"), materialize(reasons, "stale")
 
 
 def violations(rows: DataFrame, subject: Column, rules: dict[str, Column]) -> DataFrame:

@@ -10,20 +10,32 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators.knowledge import violations
 from lectern.operators.versions import Store
+from lectern.session import materialize
 
 
 class Conflict(Exception):
     """Another transaction came first, or the expected revision is no revision."""
 
 
+#: How many broken rules an error names; all of them are in its frame.
+NAMED = 100
+
+
 class Invalid(Exception):
-    """The transaction breaks rules; ``args[0]`` lists (subject, rule)."""
+    """The transaction breaks rules. ``args[0]`` names the first of them as (subject, rule) for the message;
+    ``problems`` is the frame of all, if a job has found them."""
+
+    def __init__(self, named: list[tuple[str, str]], problems: DataFrame | None = None) -> None:
+        super().__init__(named)
+        self.problems = problems
 
 
 def digest(event: dict) -> str:
@@ -48,7 +60,7 @@ class Journal:
     def append(self, expected: int, model: str, payload: dict, problems: DataFrame | None = None) -> int:
         """Publish an event; returns its revision. Nothing is written unless every condition holds.
 
-        problems: a frame of (subject, rule); its first rows are named in the error."""
+        problems: a frame of (subject, rule); the error carries it."""
         if isinstance(expected, bool) or not isinstance(expected, int):
             raise Conflict("the expected revision must be a whole number")
         if not isinstance(model, str) or not model.strip():
@@ -59,9 +71,10 @@ class Journal:
         if revision != expected:
             raise Conflict(f"revision is {revision}, not {expected}")
         if problems is not None:
-            found = [tuple(r) for r in problems.select("subject", "rule").limit(100).collect()]
+            problems = materialize(problems.select("subject", "rule"), "problems")
+            found = [tuple(r) for r in problems.orderBy("subject", "rule").limit(NAMED).collect()]
             if found:
-                raise Invalid(sorted(found))
+                raise Invalid(found, problems)
         event = {**payload, "model": model, "revision": revision + 1, "previous_event_sha256": before}
         event["event_sha256"] = digest(event)
         try:
@@ -76,22 +89,36 @@ class Journal:
         """(name, value) of all events, raw."""
         return self.spark.read.text(f"{self.store.path}/events", wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("name"), "value")
 
+    def links(self) -> DataFrame:
+        """(name, revision, previous, claimed, actual) of all events: what each says of itself, and its digest."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out = []
+                for name, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    event = json.loads(value)
+                    claimed = event.pop("event_sha256", None)
+                    out.append((name, event.get("revision"), event.get("previous_event_sha256"), claimed, digest(event)))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i == 1 else pa.string()) for i, c in enumerate(columns)], names=["name", "revision", "previous", "claimed", "actual"])
+
+        return self.events().mapInArrow(run, "name string, revision bigint, previous string, claimed string, actual string")
+
+    def violations(self) -> DataFrame:
+        """(subject, rule) where the chain of revisions and digests doesn't hold. Each event is joined with the one
+        before it by the number in its name, so no task walks the chain."""
+        rows = materialize(self.links(), "links").withColumn("at", F.regexp_extract("name", r"^0*(\d+)\.json$", 1).cast("bigint"))
+        before = rows.select((F.col("at") + 1).alias("at"), F.col("claimed").alias("before"), F.lit(True).alias("known"))
+        rules = {
+            "revision": (F.col("revision") != F.col("at")) | F.col("revision").isNull() | ((F.col("at") > 1) & F.col("known").isNull()),
+            "previous digest": ~F.col("previous").eqNullSafe(F.col("before")),
+            "digest": ~F.col("claimed").eqNullSafe(F.col("actual")),
+        }
+        return violations(rows.join(before, "at", "left"), F.col("name"), rules)
+
     def broken(self) -> list[tuple[str, str]]:
-        """(file, problem) where the chain of revisions and digests doesn't hold.
-
-        The chain is serial by nature, and its writer is one; it is checked file by file."""
-        out, revision, before = [], 0, None
-        for name in self.store.names("events"):
-            event = json.loads(self.store.read(f"events/{name}"))
-            claimed = event.pop("event_sha256", None)
-            if event.get("revision") != revision + 1:
-                out.append((name, "revision"))
-            if event.get("previous_event_sha256") != before:
-                out.append((name, "previous digest"))
-            if digest(event) != claimed:
-                out.append((name, "digest"))
-            revision, before = event.get("revision", revision + 1), claimed
-        return out
+        """What ``violations`` finds, in order; for journals whose violations are few."""
+        return sorted(tuple(r) for r in self.violations().collect()) if self.store.names("events") else []
 
 
 def quote_violations(refs: DataFrame, units: DataFrame) -> DataFrame:
@@ -133,8 +160,6 @@ def store_blobs(rows: DataFrame, folder: str, content: str = "content") -> DataF
     """Write contents as files named by their digest, each once, and return (path, sha256, bytes).
 
     A file appears whole or not at all; one that is there already is left."""
-    from lectern.session import materialize
-
     distinct = rows.select(F.sha2(content, 256).alias("sha256"), F.col(content).alias("content")).where("content is not null").dropDuplicates(["sha256"])
 
     def write(batches):  # noqa: ANN001, ANN202

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from lectern.functions import text as tx
 from lectern.session import materialize
 
-FENCE, HEADING = re.compile(r"\s*(```|~~~)"), re.compile(r"(#{1,6})\s+(.+)$")
+# What begins a fence, and what a heading looks like.
+FENCE_MARKS = ("```", "~~~")
+HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 
 
 def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,40 +24,58 @@ def text_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.select(key, (F.col("n") + 1).alias("line_no"), F.format_string("L%06d", F.col("n") + 1).alias("line_id"), "line")
 
 
-def fold(text: str) -> Iterator[tuple[str, str, int | None, list[str]]]:
-    """(line, kind, heading level, section path) of each line of a text."""
-    fenced, path = False, []
-    for line in text.splitlines():
-        if FENCE.match(line):
-            fenced = not fenced
-        heading = None if fenced else HEADING.match(line)
-        if heading:
-            path = [*path[: len(heading[1]) - 1], heading[2]]
-        yield line, "code" if fenced else "heading" if heading else "text", len(heading[1]) if heading else None, path
-
-
-def folded_lines(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line_no, line, kind, heading_level, section_path) by one fold over the lines of each text.
+LINES = pa.schema([("line_no", pa.int32()), ("line", pa.string()), ("kind", pa.string()), ("heading_level", pa.int32()), ("section_path", pa.list_(pa.string()))])
+
+
+def fold(texts: list[str]) -> tuple[np.ndarray, pa.Table]:
+    """The lines of texts, as the number of the text of each and a table of ``LINES``.
+
+    All lines of a batch are one sequence of arrays: a line is fenced if the marks of its text up to it are
+    odd in number, and its section path is that of the last heading before it."""
+    split = [t.splitlines() for t in texts]
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    owner = np.repeat(np.arange(len(split)), sizes)
+    line = [x for lines in split for x in lines]
+    first = np.cumsum(sizes) - sizes
+    marks = np.cumsum(np.fromiter((x.lstrip().startswith(FENCE_MARKS) for x in line), np.int64, len(line)))
+    before = np.concatenate(([0], marks))[first]  # marks before each text
+    fenced = (marks - np.repeat(before, sizes)) % 2 == 1
+    levels = np.zeros(len(line), np.int32)
+    paths: list[list[str]] = [[]]
+    at = np.zeros(len(line), np.int64)  # where a heading changes the path
+    last = -1
+    for i in [i for i in np.flatnonzero(~fenced).tolist() if line[i][:1] == "#"]:
+        heading = HEADING.match(line[i])
+        if heading is not None:
+            above = paths[-1] if owner[i] == last else []
+            levels[i], last = len(heading[1]), owner[i]
+            paths.append([*above[: levels[i] - 1], heading[2]])
+            at[i] = len(paths) - 1
+    # the last heading of the same text: the greatest number so far, none before the text's first
+    seen = np.maximum.accumulate(at) if len(at) else at
+    seen[seen <= np.repeat(np.concatenate(([0], seen))[first], sizes)] = 0
+    kind = np.where(fenced, "code", np.where(levels > 0, "heading", "text"))
+    columns = [np.arange(len(line)) - np.repeat(first, sizes) + 1, line, kind, pa.array(levels, mask=levels == 0), [paths[i] for i in seen.tolist()]]
+    return owner, pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, LINES, strict=True)], schema=LINES)
+
+
+def folded_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, carried columns, line_no, line, kind, heading_level, section_path) of the lines of each text.
 
     A fence marker toggles before its own line is labelled, so the opening one is code and the closing
     one text. A heading replaces the path from its level on; levels that are skipped leave no gap. The
     state of a line depends on all lines before it, which no built-in expression carries on without
     copying what it has built; the fold runs in Arrow batches, linear in the text and without a shuffle."""
-    of = documents.schema[key].dataType.simpleString()
-    schema = pa.schema([("line_no", pa.int32()), ("line", pa.string()), ("kind", pa.string()), ("heading_level", pa.int32()), ("section_path", pa.list_(pa.string()))])
+    kept = [key, *carry]
+    of = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            owner, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                for n, row in enumerate(fold(t or ""), 1):
-                    owner.append(i)
-                    rows.append((n, *row))
-            if rows:
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), *columns], names=[key, *schema.names])
+            owner, lines = fold([t or "" for t in b.column(len(kept)).to_pylist()])
+            own = [b.column(i).take(pa.array(owner)) for i in range(len(kept))]
+            yield from pa.Table.from_arrays([*own, *lines.columns], names=[*kept, *LINES.names]).combine_chunks().to_batches()
 
-    return documents.select(key, text).mapInArrow(run, f"`{key}` {of}, line_no int, line string, kind string, heading_level int, section_path array<string>")
+    return documents.select(*kept, text).mapInArrow(run, f"{of}, line_no int, line string, kind string, heading_level int, section_path array<string>")
 
 
 def line_clauses(lines: DataFrame, key: str = "doc_id", line: str = "line", indivisible: Column | None = None) -> DataFrame:
@@ -64,16 +85,18 @@ def line_clauses(lines: DataFrame, key: str = "doc_id", line: str = "line", indi
 
 
 def unit_rows(lines: DataFrame, owner: Column, part: Column) -> DataFrame:
-    """Paragraph, clause and gap units of folded lines, in one shape; ids and fingerprints come from content.
+    """Paragraph and clause units of folded lines, in one shape; ids and fingerprints come from content. Each
+    line gives all its units at once, so that lines are made once.
 
     lines: line_no, line, kind, heading_level, section_path besides what owner and part need."""
-    base = lines.select(owner.alias("owner_id"), part.alias("part"), F.format_string("L%06d", "line_no").alias("paragraph"), "line", "kind", "heading_level", F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"))
-    paragraph = base.select("owner_id", F.lit("paragraph").alias("kind"), "part", "paragraph", F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.col("line").alias("text"), F.lit(False).alias("required"), "section_path")
     whole = F.col("heading_level").isNotNull() | (F.col("kind") == "code")
-    clause = base.select("owner_id", "part", "paragraph", "section_path", F.inline(tx.clauses(F.col("line"), whole)))
-    clause = clause.select("owner_id", F.lit("clause").alias("kind"), "part", "paragraph", "start", "end", "text", F.lit(True).alias("required"), "section_path")
-    both = paragraph.unionByName(clause)
-    return with_identity(both)
+    nothing = F.lit(None).cast("int")
+    unit = lambda kind, start, end, text, required: F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), text.alias("text"), F.lit(required).alias("required"))
+    clauses = F.transform(tx.clauses(F.col("line"), whole), lambda c: unit("clause", c["start"], c["end"], c["text"], True))
+    made = F.concat(F.array(unit("paragraph", nothing, nothing, F.col("line"), False)), clauses)
+    place = [owner.alias("owner_id"), part.alias("part"), F.format_string("L%06d", "line_no").alias("paragraph")]
+    rows = lines.select(*place, F.coalesce("section_path", F.array().cast("array<string>")).alias("section_path"), F.inline(made))
+    return with_identity(rows.select("owner_id", "kind", "part", "paragraph", "start", "end", "text", "required", "section_path"))
 
 
 def with_identity(units: DataFrame) -> DataFrame:

@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.text import file_kind
 from lectern.operators import transactions as tr
+from lectern.operators import units as un
+from lectern.plans import sqltext as sq
 from lectern.sources import jsonl
 from lectern.sources import office as of
 from lectern.sources import packages as pk
@@ -39,8 +42,10 @@ paras as (select source_id, name, i, 'P' || lpad(i::varchar, greatest(4, length(
 
 
 def made(spark: SparkSession, d: str, kind: str, write: Callable[[str, list[dict]], bytes]) -> DataFrame:
-    """(source_id, path, sha256, kind, content): a file of each source that has paragraphs."""
-    rows = table(spark, d, "sources").where("size(structure.paragraphs) > 0").groupBy("source_id").agg(F.first("name").alias("name"), F.first("structure.paragraphs").alias("ps"))
+    """(source_id, path, sha256, kind, content): a file of each source that has paragraphs; repeated rows of a
+    source are equal, of others the greatest counts."""
+    rows = table(spark, d, "sources").where("size(structure.paragraphs) > 0").groupBy("source_id").agg(F.max(F.struct("name", "structure.paragraphs")).alias("one"))
+    rows = rows.select("source_id", "one.name", F.col("one.paragraphs").alias("ps"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,6 +187,26 @@ def vsdx_shapes(spark: SparkSession, d: str) -> DataFrame:
     return of.relation(files, "shapes").where("kind = 'shape'").select("source_id", "shape_id", "parent_shape_id", "text")
 
 
+@query("""with r as (select source_id, row_number() over (order by source_id) % 4 as k from (select distinct source_id from sources) s)
+select source_id || case k when 0 then '.docx' when 1 then '.txt' when 2 then '.xyz' else '.csv' end as path from r where k < 3""")
+def gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Files that no reader can read: a text document that is no package, a text that is no UTF-8, an unknown
+    kind; every fourth file is sound."""
+    rows = un.numbered(table(spark, d, "sources").select("source_id").distinct(), ["source_id"]).withColumn("k", F.col("n") % 4)
+    suffix = F.when(F.col("k") == 0, ".docx").when(F.col("k") == 1, ".txt").when(F.col("k") == 2, ".xyz").otherwise(".csv")
+    path = F.concat("source_id", suffix)
+    files = rows.select("source_id", path.alias("path"), file_kind(path).alias("kind"), F.when(F.col("k") == 3, F.encode(F.lit("a,b"), "utf-8")).otherwise(F.unhex(F.lit("FF10"))).alias("content"))
+    return of.gaps(files).select("path")
+
+
+@query("""select distinct doc_id, line_no, line, kind from (select l.*, case when f then 'code' when regexp_matches(line, '^#{1,6}\s+.+$') then 'heading' else 'text' end as kind from (
+  select *, (sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by line_no) % 2) = 1 as f from lines) l)""".replace("select distinct", f"with {sq.LINES} select distinct", 1))
+def file_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of Markdown files, read from their bytes."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("source_id"), F.concat("doc_id", F.lit(".md")).alias("path"), F.lit("markdown").alias("kind"), F.encode("text", "utf-8").alias("content"))
+    return of.relation(docs, "lines").select(F.col("source_id").cast("bigint").alias("doc_id"), "line_no", "line", "kind").distinct()
+
+
 @query("select distinct unit_id, revision, text from units")
 def scan_units(spark: SparkSession, d: str) -> DataFrame:
     """Units written as JSON Lines and read again."""
@@ -191,14 +216,14 @@ def scan_units(spark: SparkSession, d: str) -> DataFrame:
     return jsonl.read_units(spark, folder, "unit_id string, revision bigint, text string").select("unit_id", "revision", "text")
 
 
-VIEWS = "views as (select distinct unit_id || ' ' || run_no || ' ' || attempt || ' ' || stage as view_id, unit_id, unit_fingerprint, notes from readings), held as (select unit_id, max(fingerprint) as f from units group by 1)"
+VIEWS = "views as (select distinct unit_id || ' ' || run_no || ' ' || attempt || ' ' || stage as view_id, unit_id, unit_fingerprint, notes from readings), held as (select unit_id, max(fingerprint) as f, bool_and(kind = 'gap') as icon from units group by 1)"
 
 
-@query(f"with {VIEWS} select view_id as subject, 'rendition' as rule from views v left join held h on v.unit_id = h.unit_id where v.unit_fingerprint is distinct from h.f union select view_id, 'observation' from views where coalesce(trim(notes), '') = ''")
+@query(f"with {VIEWS} select view_id as subject, 'rendition' as rule from views v left join held h on v.unit_id = h.unit_id where v.unit_fingerprint is distinct from h.f union select view_id, 'icon' from views v join held h on v.unit_id = h.unit_id where icon union select view_id, 'observation' from views where coalesce(trim(notes), '') = ''")
 def view_validity(spark: SparkSession, d: str) -> DataFrame:
-    """Rules that visual readings break."""
+    """Rules that visual readings break; of units that are gaps only an icon is there to be seen."""
     views = table(spark, d, "readings").select(F.concat_ws(" ", "unit_id", F.col("run_no").cast("string"), F.col("attempt").cast("string"), "stage").alias("view_id"), F.col("unit_id").alias("rendition_id"), F.col("unit_fingerprint").alias("sha256"), F.lit("reader").alias("tool"), F.col("notes").alias("observation")).distinct()
-    held = table(spark, d, "units").groupBy(F.col("unit_id").alias("rendition_id")).agg(F.max("fingerprint").alias("sha256"), F.lit("page").alias("role"))
+    held = table(spark, d, "units").groupBy(F.col("unit_id").alias("rendition_id")).agg(F.max("fingerprint").alias("sha256"), F.when(F.bool_and(F.col("kind") == "gap"), "icon").otherwise("page").alias("role"))
     return tr.view_violations(views, held)
 
 

@@ -322,7 +322,9 @@ def affected_reads(spark: SparkSession, d: str) -> DataFrame:
     return readings(spark, d).where("stage = 'deep'").join(changed_units(spark, d), "unit_id", "left_semi").select("unit_id", "run_no")
 
 
-@query(f"with {BEFORE}, a as (select owner_id, count(*) as n, max(fingerprint) as f from before group by 1), b as (select owner_id, count(*) as n, max(fingerprint) as f from live group by 1) select coalesce(a.owner_id, b.owner_id) as owner_id, case when a.owner_id is null then 'added' when b.owner_id is null then 'removed' else 'changed' end as change from a full outer join b on a.owner_id = b.owner_id where a.owner_id is null or b.owner_id is null or a.n || ' ' || coalesce(a.f, '') <> b.n || ' ' || coalesce(b.f, '')")
+@query(f"""with {BEFORE}, pairs as (select coalesce(b.owner_id, a.owner_id) as owner_id, b.unit_id is not null as was, a.unit_id is not null as now, b.unit_id is null or a.unit_id is null or a.fingerprint is distinct from b.fingerprint as differs
+  from before b full outer join live a on a.unit_id = b.unit_id and a.owner_id = b.owner_id)
+select owner_id, case when not bool_or(was) then 'added' when not bool_or(now) then 'removed' else 'changed' end as change from pairs group by 1 having bool_or(differs)""")
 def inventory_diff(spark: SparkSession, d: str) -> DataFrame:
     """Owners whose inventory differs between the snapshots in any of its units."""
     before, now = snapshots(spark, d)
@@ -443,10 +445,8 @@ def receipt_check(spark: SparkSession, d: str) -> DataFrame:
 @query("select name, row_number() over (order by name like '%list%', name, source_id) as place from (select distinct name, source_id from sources) s")
 def publish_order(spark: SparkSession, d: str) -> DataFrame:
     """The order of publication: lists (the manifests) last."""
-    from pyspark.sql import Window
-
-    rows = table(spark, d, "sources").select("name", "source_id").distinct()
-    return rows.select("name", F.row_number().over(Window.orderBy(F.col("name").contains("list"), "name", "source_id")).alias("place"))
+    rows = table(spark, d, "sources").select("name", "source_id", F.col("name").contains("list").alias("last")).distinct()
+    return un.numbered(rows, ["last", "name", "source_id"]).select("name", F.col("n").alias("place"))
 
 
 @query("""select distinct entry_id, source_id from index_entries where entry_type = 'knowledge' and coalesce(trim(name), '') <> '' and coalesce(trim(body), '') <> '' and review_status in ('source_checked', 'human_reviewed') and source_id in (select source_id from sources)""")

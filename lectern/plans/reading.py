@@ -168,9 +168,8 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def document_units(spark: SparkSession, d: str) -> DataFrame:
     """Paragraph and clause units of documents; the owner is the id of the content."""
-    docs = documents(spark, d).where("text is not null")
-    owned = docs.select("doc_id", tx.content_id("S", F.col("text")).alias("owner_id"))
-    rows = un.folded_lines(docs).join(owned, "doc_id")
+    docs = documents(spark, d).where("text is not null").withColumn("owner_id", tx.content_id("S", F.col("text")))
+    rows = un.folded_lines(docs, carry=("owner_id",))
     return un.unit_rows(rows, F.col("owner_id"), F.concat(F.lit("d"), F.col("doc_id")))
 
 
@@ -180,7 +179,7 @@ fenced as (select l.*, o.owner_id, 'd' || l.doc_id as part, 'L' || lpad(l.line_n
 cut as (select owner_id, part, paragraph, unnest(c) as clause, generate_subscripts(c, 1) as i from (
   select owner_id, part, paragraph, case when f or regexp_matches(line, '^#{{1,6}}\\s+.+$') then [line] else {sq.clauses('line')} end as c from fenced) x),
 placed as (select *, coalesce(sum(length(clause)) over (partition by part, paragraph order by i rows between unbounded preceding and 1 preceding), 0)::int as s from cut),
-made as (select owner_id, 'paragraph' as kind, part, paragraph, null::int as s, null::int as e, line as text from fenced
+made as materialized (select owner_id, 'paragraph' as kind, part, paragraph, null::int as s, null::int as e, line as text from fenced
   union all select owner_id, 'clause', part, paragraph, s, s + length(clause)::int, clause from placed where not regexp_matches(clause, '^{sq.SPACE}*$'))"""
 
 
@@ -196,7 +195,8 @@ def unit_ids(spark: SparkSession, d: str) -> DataFrame:
     return document_units(spark, d).select("owner_id", "kind", "part", "paragraph", "start", "unit_id")
 
 
-@query("""select unit_id, revision, sha256('{"kind":"' || kind || '","owner_id":"' || owner_id || '","required":' || required::varchar || ',"unit_id":"' || unit_id || '"}') as row_sha256 from (select distinct unit_id, revision, kind, owner_id, required from units) u""")
+@query("""select distinct unit_id, revision, sha256(to_json({'kind': kind, 'locator': case when locator is not null then {'paragraph': locator.paragraph, 'part': locator.part} end, 'owner_id': owner_id, 'required': required, 'retired': retired,
+ 'section_path': section_path, 'source_ids': source_ids, 'text': text, 'unit_id': unit_id})::varchar) as row_sha256 from units""")
 def unit_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """A hash of all content of a unit's row in canonical JSON: every column but the fingerprint itself and what
     belongs to the delivery (revision and arrival). Versions that differ in any of it have rows of their own."""
@@ -288,14 +288,14 @@ def empty_cells(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("owner_id", F.col("locator.part").alias("part")).agg(F.count("*").alias("cells"), F.count_if(blank).alias("empty"), F.bool_and(blank).alias("all_empty"))
 
 
-@query("""select part, sum(('0x' || substr(sha256(line), 1, 12))::bigint)::bigint as signature, count(*) as n from (
+@query("""select part, bit_xor(('0x' || substr(sha256(line), 1, 15))::bigint) as signature, count(*) as n from (
   select distinct unit_id || ' ' || revision::varchar || ' ' || coalesce(fingerprint, '') as line, substr(sha256(unit_id), 1, 2) as part from units) x group by part""")
 def signature(spark: SparkSession, d: str) -> DataFrame:
-    """Signatures of 256 parts of the unit table: equal parts have equal rows, in whatever order. Digests are
-    added up, so they combine before the shuffle."""
+    """Signatures of 256 parts of the unit table: equal parts have equal rows, in whatever order. Digests of
+    different rows are combined by exclusive or, before the shuffle, and can't overflow however many there are."""
     rows = table(spark, d, "units").select(F.concat_ws(" ", "unit_id", F.col("revision").cast("string"), F.coalesce("fingerprint", F.lit(""))).alias("line"), F.substring(F.sha2("unit_id", 256), 1, 2).alias("part")).distinct()
-    digest = F.conv(F.substring(F.sha2("line", 256), 1, 12), 16, 10).cast("bigint")
-    return rows.groupBy("part").agg(F.sum(digest).alias("signature"), F.count("*").alias("n"))
+    digest = F.conv(F.substring(F.sha2("line", 256), 1, 15), 16, 10).cast("bigint")
+    return rows.groupBy("part").agg(F.bit_xor(digest).alias("signature"), F.count("*").alias("n"))
 
 
 @query("select event_id, user_id, event_type, (json_extract_string(props, '$.k'))::bigint as k from events")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from lectern.operators import index as ix
 from lectern.operators import units as un
 from lectern.plans import sqltext as sq
 from lectern.plans.reading import LATEST, units
-from lectern.session import table
+from lectern.session import step_dir, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,6 +62,22 @@ def postings(spark: SparkSession, d: str) -> DataFrame:
     return ix.posting_lists(ix.postings(entries(spark, d), "id", FIELDS), "id")
 
 
+@query(f"with {TOKENS}, p as (select entry_no as id, field, term, count(*) as tf from toks group by 1, 2, 3) select term, string_agg(id || ':' || field || ':' || tf, ' ' order by id, field) as postings from p group by 1")
+def posting_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The records of each term, put together from its blocks; in whole only here, where the tables are small."""
+    blocks = ix.posting_blocks(ix.postings(entries(spark, d), "id", FIELDS), "id", 512)
+    one = blocks.groupBy("term").agg(F.array_sort(F.flatten(F.collect_list("postings"))).alias("postings"))
+    return one.select("term", F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["id"].cast("string"), p["field"], p["tf"].cast("string"))), " ").alias("postings"))
+
+
+@query(f"with {TOKENS} select term, count(distinct entry_no) as df, count(*) as tf from toks where term in ('page', 'image', '表') group by 1")
+def stored_index(spark: SparkSession, d: str) -> DataFrame:
+    """Terms looked up in an index that is stored by term: of its parts only theirs are read."""
+    folder = f"{step_dir(spark)}/index-{uuid.uuid4().hex}"
+    ix.store_index(ix.postings(entries(spark, d), "id", FIELDS), folder, "id")
+    return ix.posting_lists(ix.stored_postings(spark, folder, ["page", "image", "表"]), "id")
+
+
 def _ranked(term: str, eligible: str = "true", aliases: bool = False, related: bool = False) -> str:
     """SQL of a ranked search; the score as in ``operators.index.search``."""
     wanted = f"select unnest({sq.tokens(repr(term), False)}) as term"
@@ -146,13 +164,13 @@ def knowledge_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {LATEST}, l as (select unit_id, kind, owner_id, locator.part as part, try_cast(substr(locator.paragraph, 2) as int) as n from latest where regexp_matches(locator.paragraph, '^P[0-9]+$'))
-select a.unit_id as gap_unit, b.unit_id as parent_unit from l a join l b on a.owner_id = b.owner_id and b.n between a.n - 2 and a.n + 2 and a.unit_id <> b.unit_id where a.kind = 'gap' and b.kind <> 'gap'""")
+select a.unit_id as gap_unit, b.unit_id as parent_unit from l a join l b on a.owner_id = b.owner_id and a.part is not distinct from b.part and b.n between a.n - 2 and a.n + 2 and a.unit_id <> b.unit_id where a.kind = 'gap' and b.kind <> 'gap'""")
 def attachment_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Gap units with the units at most two paragraphs away."""
-    rows = units(spark, d).where(F.col("locator.paragraph").rlike("^P[0-9]+$")).select("unit_id", "kind", "owner_id", F.substring("locator.paragraph", 2, 20).cast("int").alias("n"))
-    left = rows.where("kind = 'gap'").select(F.col("unit_id").alias("gap_unit"), "owner_id", "n")
-    right = rows.where("kind <> 'gap'").select(F.col("unit_id").alias("parent_unit"), "owner_id", F.col("n").alias("at"))
-    return un.band_pairs(right, left, ["owner_id"], "at", "n", 2).select("gap_unit", "parent_unit")
+    """Gap units with the units of the same part at most two paragraphs away; numbers begin anew in each part."""
+    rows = units(spark, d).where(F.col("locator.paragraph").rlike("^P[0-9]+$")).select("unit_id", "kind", "owner_id", F.coalesce(F.concat(F.lit("p"), "locator.part"), F.lit("")).alias("part"), F.substring("locator.paragraph", 2, 20).cast("int").alias("n"))
+    left = rows.where("kind = 'gap'").select(F.col("unit_id").alias("gap_unit"), "owner_id", "part", "n")
+    right = rows.where("kind <> 'gap'").select(F.col("unit_id").alias("parent_unit"), "owner_id", "part", F.col("n").alias("at"))
+    return un.band_pairs(right, left, ["owner_id", "part"], "at", "n", 2).select("gap_unit", "parent_unit")
 
 
 @query("""with l as (select distinct l_orderkey, l_partkey, l_suppkey, l_linenumber from lineitem)
