@@ -227,23 +227,20 @@ def chosen(left: dict[tuple[str, ...], int], least: int) -> list[str]:
     return picked
 
 
+#: Sequences of more than one byte as UTF-8 forms them.
+SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
 def _valid(raw: bytes) -> list[tuple[int, int]]:
     """Places of valid UTF-8 sequences of more than one byte."""
-    out, i, n = [], 0, len(raw)
-    while i < n:
-        b = raw[i]
-        size = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
-        if size and i + size <= n:
-            try:
-                raw[i : i + size].decode("utf-8")
-            except UnicodeDecodeError:
-                i += 1
-                continue
-            out.append((i, i + size))
-            i += size
-        else:
-            i += 1
-    return out
+
+    def sound_(part: bytes) -> bool:
+        try:
+            return bool(part.decode("utf-8"))
+        except UnicodeDecodeError:
+            return False
+
+    return [m.span() for m in SEQUENCE.finditer(raw) if sound_(m.group())]
 
 
 @lru_cache(maxsize=None)
@@ -361,7 +358,7 @@ def undo_each(words: list[str], was: list[str], read_as: str) -> Iterator[tuple[
     joined = "\n".join(words)
     raw = codecs.charmap_encode(joined, "lectern-none", _charmap(read_as))[0] if read_as in ONE_BYTE else joined.encode(read_as, "lectern-none")
     lines = raw.split(b"\n")
-    if len(lines) != len(words):  # a codec has taken a line break for part of a character
+    if len(lines) != len(words):  # a text with a line break, or a codec that takes one for part of a character
         lines = [to_bytes(w, read_as) or NONE.encode() for w in words]
     good = [i for i, x in enumerate(lines) if NONE.encode() not in x]
     if not good:
@@ -369,38 +366,47 @@ def undo_each(words: list[str], was: list[str], read_as: str) -> Iterator[tuple[
     raw = b"\n".join(lines[i] for i in good)
     for name in was:
         outs = raw.decode(name, "replace").split("\n")
-        if len(outs) != len(good):
+        if len(outs) != len(good) or len(raw.split(b"\n")) != len(good):
             outs = [lines[i].decode(name, "replace") for i in good]
         for i, out in zip(good, outs, strict=True):
             if out != words[i] and LOST not in out and not out.isascii():
                 yield i, name, out
 
 
-def whole_text(text: str, applied: list[tuple[str, str]], counts: dict[str, int], least: int) -> tuple[str, int] | None:
-    """What a text was, if a transformation gives it as a whole, and how many of its characters that changes.
+def whole_texts(texts: list[str], applied: list[tuple[str, str]], counts: dict[str, int], least: int) -> dict[int, tuple[str, int]]:
+    """What texts were, where a transformation gives one as a whole, by index, and how many of its characters
+    that changes.
 
-    The bytes of one character may be ASCII, so what has changed isn't words. All signs that come out have to
-    be known, and more usual than those they come from: on the average if the bytes have to be valid, each
-    ten times if any bytes are."""
-    best = None
-    own = [c for c in text if c > "\x7f"]
+    The bytes of one character may be ASCII, so what has changed isn't words. All signs that come out have
+    to be known, and likelier than those they come from: together if the bytes have to be valid, each ten
+    times if any bytes are. ``counts`` has the number of all texts under the empty string."""
     usual = lambda cs: sum(math.log(counts.get(c, 1) / (counts[""] + 1)) for c in cs)
+    top = max((n for c, n in counts.items() if c), default=0)
+    own = [[c for c in t if c > "\x7f"] for t in texts]
+    rare = [all(10 * counts.get(c, 1) <= top for c in cs) for cs in own]  # others can't come from rarer signs
+    worth = [usual(cs) for cs in own]
+    best: dict[int, tuple[str, int, float]] = {}
+    by_reading: dict[str, list[str]] = {}
     for was, read_as in applied:
-        out = undo(text, was, read_as)
-        if out is None or LOST in out:
-            continue
-        new = [c for c in out if c > "\x7f"]
-        used = len(text) - len(out) + len(new)
-        if used < least or not new or not all(c in counts for c in new):
-            continue
-        if was in MORE_BYTES:
-            if usual(new) <= usual(own):
-                continue
-        elif len(new) != len(own) or not all(counts[y] >= 10 * counts.get(x, 1) for x, y in zip(own, new, strict=True)):
-            continue
-        if best is None or usual(new) > best[2]:
-            best = out, used, usual(new)
-    return best and best[:2]
+        by_reading.setdefault(read_as, []).append(was)
+    for read_as, names in by_reading.items():
+        for valid in (True, False):
+            some = [x for x in names if (x in MORE_BYTES) == valid]
+            asked = [i for i, cs in enumerate(own) if cs and (valid or rare[i])]
+            for j, _, out in undo_each([texts[i] for i in asked], some, read_as) if some and asked else ():
+                i = asked[j]
+                new = [c for c in out if c > "\x7f"]
+                used = len(texts[i]) - len(out) + len(new)
+                if used < least or not all(c in counts for c in new):
+                    continue
+                if valid:
+                    if usual(new) <= worth[i]:
+                        continue
+                elif len(new) != len(own[i]) or not all(counts[y] >= 10 * counts.get(x, 1) for x, y in zip(own[i], new, strict=True)):
+                    continue
+                if i not in best or usual(new) > best[i][2]:
+                    best[i] = out, used, usual(new)
+    return {i: x[:2] for i, x in best.items()}
 
 
 def garbled_words(texts: DataFrame, learned: list[tuple[str, str]], counts: dict[str, int], least: int = 3) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -488,22 +494,24 @@ def garbled_texts(paragraphs: DataFrame, text: str = "text", least: int = 3) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readings, known, pairs = shared.value
         for b in batches:
-            rows = []
+            rows, rest = [], []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 out = undo_all(t, readings, known)
                 if out != t or LOST in t:
                     most = 1_000_000 if 2 * changed(t, out) >= signs(t) else 0
                     rows.append((k, None if LOST in out else out, most + changed(t, out)))
-                elif (found := whole_text(t, pairs, known, least)) is not None:
-                    rows.append((k, found[0], found[1]))
+                else:
+                    rest.append((k, t))
+            rows += [(rest[i][0], *found) for i, found in whole_texts([t for _, t in rest], pairs, known, least).items()]
             yield _spell(b, rows, schema)
 
     def run_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readings, known, pairs = shared.value
         for b in batches:
             rows = []
-            for k, t, votes, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                found = whole_text(t, pairs, known, least)
+            whole = whole_texts(b.column(1).to_pylist(), pairs, known, least)
+            for i, (k, t, votes, n) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                found = whole.get(i)
                 out = undo_all(found[0] if found else undo_words(t, votes), readings, known)
                 rows.append((k, None if LOST in t or LOST in out else out, n + bool(found)))
             yield _spell(b, rows, schema)
