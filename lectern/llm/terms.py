@@ -218,7 +218,8 @@ def index_terms(shards: DataFrame, rare: int = 3, common: float = 0.1, share: in
     occurrence, one without a record for nothing; a term without any posting that counts is in no record
     and gives no row. The stored frequency is of no use: it is null or wrong where it differs from the
     postings."""
-    rows = shards.where(F.size("postings") > 0).select(term_form("term").alias("head"), "built_at", "postings").where("head <> ''")
+    form = F.pandas_udf(term_form.func, T.StringType()).asNondeterministic()  # so that it isn't repeated for the filter
+    rows = shards.where(F.size("postings") > 0).select(form("term").alias("head"), "built_at", "postings").where("head <> ''")
     hot = _parts(rows.select("head", F.size("postings").alias("n")), share)
     records = rows.select(F.explode(F.array_distinct(F.col("postings.entry_no"))).alias("record")).where("record is not null").agg(F.count_distinct("record").alias("all_records"))
     one = rows.join(F.broadcast(hot), "head", "left").select("head", "parts", "built_at", F.explode("postings").alias("p")).where("p.entry_no is not null")
