@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from lectern.llm import bpe
 from lectern.session import materialize
 
+#: Windows that items are packed for in one call.
+MOST_WINDOWS = 1000
 #: Ranks in one part of the join of ranges with items.
 PART = 512
 
@@ -87,8 +89,13 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
 
 def pieces(sizes: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame:
     """(window_id, capacity, key, piece_no, start_token, n_tokens): items cut where they exceed the capacity.
-    windows has a handful of rows."""
-    rows = sizes.select(key, "n_tokens").crossJoin(F.broadcast(windows.select("window_id", "capacity")))
+
+    Each item goes into each window, so this takes a row for each of both; windows are a handful, which is
+    checked before they are broadcast."""
+    few = windows.select("window_id", "capacity")
+    if few.limit(MOST_WINDOWS + 1).count() > MOST_WINDOWS:
+        raise ValueError(f"more than {MOST_WINDOWS} windows")
+    rows = sizes.select(key, "n_tokens").crossJoin(F.broadcast(few))
     last = F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")) - 1, F.lit(0))
     rows = rows.select("window_id", "capacity", key, F.col("n_tokens").alias("whole"), F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("piece_no"))
     start = F.col("piece_no") * F.col("capacity")
@@ -147,6 +154,15 @@ def pack(sizes: DataFrame, windows: DataFrame, key: str = "doc_id") -> DataFrame
     return placed.unionByName(empty)
 
 
+def fill(packed: DataFrame, windows: DataFrame) -> DataFrame:
+    """(window_id, capacity, tokens, containers, least, fullest) of packed pieces: how many containers hold
+    something, the fewest that could hold all tokens, and the tokens of the fullest one."""
+    held = packed.where("n_tokens > 0").groupBy("window_id", "container_id").agg(F.sum("n_tokens").alias("n"))
+    rows = held.groupBy("window_id").agg(F.sum("n").alias("tokens"), F.count("*").alias("containers"), F.max("n").alias("fullest"))
+    rows = rows.join(windows.select("window_id", "capacity").distinct(), "window_id")
+    return rows.select("window_id", "capacity", "tokens", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), "fullest")
+
+
 def token_sizes(documents: DataFrame, tokenizer: str, folder: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens) by a public tokenizer: byte-level vocabularies by this package's encoder, the others
     by their library. The file is read by the driver and broadcast; it has a fixed size."""

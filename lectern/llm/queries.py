@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lectern.llm import bpe, consistent, encoding, packing, sentences, terms
 from lectern.llm.sql import SQL
@@ -56,6 +57,12 @@ def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "reading_windows"), FOLDER)
 
 
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of p7_pack are."""
+    windows = table(spark, folder, "reading_windows").select("window_id", F.col("capacity_tokens").alias("capacity"))
+    return packing.fill(p7_pack(spark, folder), windows)
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
     return sentences.split_sentences(documents, sentences.fit(documents))

@@ -58,6 +58,22 @@ def test_pack(spark):
         assert total / (len(held) * capacity) > {100: 0.9, 333: 0.98}[capacity]
 
 
+def test_fill_of_the_test_tables(spark):
+    from pathlib import Path
+
+    from lectern.llm import queries as q
+
+    if not Path("/root/testdata/sf0.01").exists():
+        pytest.skip("no test tables")
+    for r in q.p7_fill(spark, "/root/testdata/sf0.01").collect():
+        assert r["fullest"] <= r["capacity"] and r["least"] <= r["containers"] <= r["least"] * 1.01 + 1
+
+
+def test_windows_are_few(spark):
+    with pytest.raises(ValueError, match="windows"):
+        packed(spark, [(1, 1)], [(i, 10) for i in range(pk.MOST_WINDOWS + 1)])
+
+
 def test_pack_edges(spark):
     assert packed(spark, [], [(1, 10)]) == []
     only_empty = packed(spark, [(1, 0)], [(1, 10)])

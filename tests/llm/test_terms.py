@@ -65,3 +65,34 @@ def test_record_terms_and_scores(spark):
     assert scored[1, "apple"]["z"] > scored[1, "pie"]["z"]
     assert [(r["entry_no"], r["term"]) for r in tm.own_terms(tm.log_odds(counts)).collect()] == [(1, "apple")]
     assert tm.log_odds(tm.record_terms(df.limit(0))).count() == 0
+
+
+def test_every_case_has_the_bound(spark):
+    """What the score selects is what counting gives, on the smallest tables and for terms of all sizes."""
+    rows = [(r, f"t{t}", n, 400) for r in range(40) for t in range(12) for n in [((r * 7 + t * 5) % 9) + (130 if r == t else 40 if r == t + 1 else 0)] if n]
+    counts = spark.createDataFrame(rows, "entry_no int, term string, n bigint, length bigint")
+    totals = Counter()
+    for _, t, n, _ in rows:
+        totals[t] += n
+    want = {(r, t) for r, t, n, _ in rows if n >= 3 and n >= totals[t] / 4} | {(99, "only")}
+    counts = counts.unionByName(spark.createDataFrame([(99, "only", 3, 3)], counts.schema))
+    scored = tm.log_odds(counts)
+    assert {(r["entry_no"], r["term"]) for r in tm.own_terms(scored, share=0.25).collect()} == want
+    wide = {(r, t) for r, t, n, _ in rows if n >= 3 and n >= totals[t] / 10} | {(99, "only")}
+    assert {(r["entry_no"], r["term"]) for r in tm.own_terms(scored, share=0.1).collect()} == wide and len(wide) > len(want) > 3
+
+
+def test_records_of_prefixes_count_once():
+    """A record with several suffixes counts once in each prefix, without sets."""
+    rows = [(["b", "c"], 1, 1), (["b", "a"], 1, 1), (["b", "a"], 2, 1), (["b"], 2, 5), (["a", "b"], 1, 1), (["a"], 3, 1)]
+    got = {tuple(t): (n, r) for t, n, r in tm.stack_counts(iter(rows), 2)}
+    assert got == {("b", "c"): (1, 1), ("b", "a"): (2, 2), ("b",): (8, 2), ("a", "b"): (1, 1), ("a",): (2, 2)}
+
+
+def test_stretches_across_batches(spark):
+    """Postings of one term over many batches, with repeated and older ones."""
+    rows = [(1, "hot", None, [(i, "body", 1), (i, "section", 2), (i, "body", 1)], B, "x") for i in range(30_000)] + [(1, "HOT", None, [(i, "body", 9)], A, "x") for i in range(100)] + [(1, f"t{i}", 1, [(i, None, None)], A, "") for i in range(500)]
+    df = spark.createDataFrame(rows, SHARDS)
+    for share in (1, 64):
+        got = {r["term"]: (r["frequency"], r["n_records"], r["mark"]) for r in tm.index_terms(df, share=share).collect()}
+        assert got == {"hot": (90_000, 30_000, "common")} | {f"t{i}": (1, 1, "rare") for i in range(500)}
