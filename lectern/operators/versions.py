@@ -177,21 +177,41 @@ class VersionedTable:
         manifest = manifest or self.latest()
         return self._files(manifest.files).drop(FILE, ROW) if manifest.files else None
 
-    def put_snapshot(self, snapshot: DataFrame, key: str, notes: dict | None = None) -> Manifest:
+    def put_snapshot(self, snapshot: DataFrame, key: str, notes: dict | None = None, base: Manifest | None = None) -> Manifest:
         """A version that holds exactly ``snapshot``, one row per key.
 
         Rows that stay as they are stay where they are; others get a deletion vector, new and changed
         rows go to new files. Both sides are joined on the key once; rows that stay are dropped in the
         join and never written."""
-        base = self.latest()
-        columns = snapshot.columns
-        others = [c for c in columns if c != key]
-        new = snapshot.groupBy(key).agg(F.max(F.struct(*others)).alias("new")) if others else snapshot.select(key, F.struct(F.lit(1)).alias("new")).distinct()
+        base = base or self.latest()
+        others, new = self._one_per_key(snapshot, key)
         if not base.files:
             return self.append(new.select(key, *[f"new.`{c}`" for c in others]), notes, base)
-        now = self._files(base.files)
-        old = now.select(F.col(key).alias("__key"), F.struct(*others).alias("old") if others else F.struct(F.lit(1)).alias("old"), FILE, ROW)
-        both = old.join(new, F.col("__key").eqNullSafe(F.col(key)), "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+        both = self._placed(base, key, others).join(new, F.col("__key").eqNullSafe(F.col(key)), "full_outer").where(~F.col("old").eqNullSafe(F.col("new")))
+        return self._replace(base, both, key, others, notes)
+
+    def merge(self, rows: DataFrame, key: str, notes: dict | None = None, base: Manifest | None = None) -> Manifest:
+        """A version in which the rows of ``rows``, one per key, replace those with the same key; others stay
+        untouched. Of the table only rows with these keys are joined."""
+        base = base or self.latest()
+        others, new = self._one_per_key(rows, key)
+        if not base.files:
+            return self.append(new.select(key, *[f"new.`{c}`" for c in others]), notes, base)
+        both = new.join(self._placed(base, key, others), F.col("__key").eqNullSafe(F.col(key)), "left").where(~F.col("old").eqNullSafe(F.col("new")))
+        return self._replace(base, both, key, others, notes)
+
+    @staticmethod
+    def _one_per_key(rows: DataFrame, key: str) -> tuple[list[str], DataFrame]:
+        """The other columns, and (key, new): the greatest row of each key."""
+        others = [c for c in rows.columns if c != key]
+        return others, rows.groupBy(key).agg(F.max(F.struct(*others)).alias("new")) if others else rows.select(key, F.struct(F.lit(1)).alias("new")).distinct()
+
+    def _placed(self, base: Manifest, key: str, others: list[str]) -> DataFrame:
+        """(__key, old, place) of the live rows of a version."""
+        return self._files(base.files).select(F.col(key).alias("__key"), F.struct(*others).alias("old") if others else F.struct(F.lit(1)).alias("old"), FILE, ROW)
+
+    def _replace(self, base: Manifest, both: DataFrame, key: str, others: list[str], notes: dict | None) -> Manifest:
+        """A version with the rows of ``both`` (key, new, place of the old row) replaced, added or removed."""
         folder = f"{self.path}/steps/{uuid.uuid4().hex}"
         both.select(F.col("new").isNotNull().alias("added"), key, "new", FILE, ROW).write.parquet(folder)
         both = self.spark.read.parquet(folder)

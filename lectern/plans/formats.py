@@ -174,6 +174,21 @@ def cell_select(spark: SparkSession, d: str) -> DataFrame:
     return of.select_cells(of.relation(workbooks(spark, d), "sheet_cells"), "S", ["A1", "B1"]).select("source_id", "address", "value")
 
 
+_ID = """'U' || substr(sha256('{"kind":"' || kind || '","locator":{"end":null,"paragraph":"' || paragraph || '","part":"' || part || '","start":null},"owner":"' || source_id || '"}'), 1, 24)"""
+
+
+@query(f"""with {SHEET}, n as (select source_id, count(*) as n from paras where kind = 'heading' group by 1),
+u as (select source_id, 'native_cell' as kind, 'S' as part, address as paragraph, coalesce(formula, value) as text from cells where formula is not null or coalesce(value, '') <> ''
+  union all select source_id, 'shape', 'visio/pages/page1.xml', i::varchar, trim(text) from paras)
+select source_id as owner_id, kind, part, paragraph, text, {_ID} as unit_id from u
+union all select source_id, 'gap', 'xl/charts/chart' || unnest(range(1, n + 1)) || '.xml', null, null, null from n""")
+def office_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units of workbooks and diagrams; of gaps only the place is compared."""
+    diagrams = made(spark, d, "vsdx", lambda name, ps: pk.diagram([p["text"] for p in ps]))
+    rows = of.unit_rows(workbooks(spark, d), ["native_cell", "gap"]).unionByName(of.unit_rows(diagrams, ["shape"]))
+    return rows.select("owner_id", "kind", "part", "paragraph", "text", F.when(F.col("kind") != "gap", F.col("unit_id")).alias("unit_id"))
+
+
 @query(f"with {PARAS}, n as (select source_id, count(*) as n from paras where kind = 'heading' group by 1) select source_id, 'xl/charts/chart' || unnest(range(1, n + 1)) || '.xml' as member from n")
 def native_part_gaps(spark: SparkSession, d: str) -> DataFrame:
     """Parts of packages that no reader understands."""
@@ -209,11 +224,10 @@ def file_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select distinct unit_id, revision, text from units")
 def scan_units(spark: SparkSession, d: str) -> DataFrame:
-    """Units written as JSON Lines and read again."""
+    """Units written as JSON Lines with the digests of their files, which are compared when they are read again."""
     folder = f"{step_dir(spark)}/units-{uuid.uuid4().hex}"
-    rows = table(spark, d, "units").select("unit_id", "revision", "text").distinct()
-    rows.select(F.to_json(F.struct("unit_id", "revision", "text"), {"ignoreNullFields": "false"})).write.text(folder, lineSep="\n")
-    return jsonl.read_units(spark, folder, "unit_id string, revision bigint, text string").select("unit_id", "revision", "text")
+    jsonl.write_units(table(spark, d, "units").select("unit_id", "revision", "text").distinct(), folder)
+    return jsonl.read_checked(spark, folder, "unit_id string, revision bigint, text string").select("unit_id", "revision", "text")
 
 
 VIEWS = "views as (select distinct unit_id || ' ' || run_no || ' ' || attempt || ' ' || stage as view_id, unit_id, unit_fingerprint, notes from readings), held as (select unit_id, max(fingerprint) as f, bool_and(kind = 'gap') as icon from units group by 1)"

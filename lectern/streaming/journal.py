@@ -23,12 +23,14 @@ def latest_stream(rows: DataFrame, keys: list[str], order: str, values: list[str
 def publish_latest(stream: DataFrame, table: VersionedTable, key: str, checkpoint: str) -> None:
     """Run a stream over what is there now; each batch publishes a version of the table.
 
-    The batch number is part of the commit: a batch that is delivered again after a failure is left out,
-    so every batch counts once."""
+    A batch has the keys that it changes, and only these are merged. The batch number is part of the commit,
+    which follows the version that was read: a batch that is delivered again after a failure, or by a second
+    runner, is left out, so every batch counts once."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        if table.latest().notes.get("batch", -1) < number:
-            table.put_snapshot(rows, key, {"batch": number})
+        held = table.latest()
+        if held.notes.get("batch", -1) < number:
+            table.merge(rows, key, {"batch": number}, held)
 
-    query = stream.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -122,6 +122,18 @@ def test_versions_write_what_changed(spark, tmp_path):
     assert t.changes(four, last).count() == 70
 
 
+def test_merge_touches_only_its_keys(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t")
+    make = lambda *x: spark.createDataFrame(list(x), "k string, v string")
+    t.merge(make(("a", "1"), ("b", "1")), "k")
+    one = t.latest()
+    two = t.merge(make(("b", "2"), ("c", "1"), ("c", "1"), (None, "n")), "k")
+    assert rows(t.read().where("k is not null")) == [("a", "1"), ("b", "2"), ("c", "1")]
+    assert t.read().count() == 4 and t.changes(one, two).where("change = 'delete'").count() == 1
+    t.merge(make((None, "m"), ("a", "1")), "k")
+    assert t.read().where("k is null").first()["v"] == "m" and t.read().count() == 4
+
+
 UNITS = "unit_id string, fingerprint string, revision bigint, arrived_at timestamp, retired boolean, note string"
 READS = "unit_id string, unit_fingerprint string, run_no bigint, attempt int, noted_at timestamp, status string"
 RUNS = "run_no bigint, attempt int, status string"
