@@ -138,6 +138,8 @@ def blocks(text: str) -> list[tuple[int, int, bool, int]]:
 
 def spans(s: str) -> list[tuple[int, int]]:
     """Matched quotes and brackets of a block, by their start; each is looked at once."""
+    if QUOTES.search(s) is None:
+        return []
     found: list[tuple[int, int]] = []
     stack: list[tuple[str, int]] = []
     open_: Counter[str] = Counter()
@@ -197,6 +199,7 @@ class Place:
         return (*self.look(), self.token, self.word, self.prior, self.words)
 
 
+@lru_cache(maxsize=50_000)
 def form_of(token: str, size: int) -> str:
     """The form of a token: its length, case, dots, and whether it has digits or vowels."""
     case = "U" if token.isupper() else "T" if token[:1].isupper() else "l" if token[:1].islower() else "-"
@@ -210,13 +213,13 @@ def places(s: str) -> list[Place]:
     """The open characters of a block, in order, in one pass."""
     found: list[Place] = []
     held = spans(s)
-    starts = dict((b, a) for a, b in held)
+    starts = {b: a for a, b in held}
     outer: list[tuple[int, int]] = []  # spans in no other
     for x in held:
         if not outer or x[0] > outer[-1][1]:
             outer.append(x)
     around = 0
-    breaks = [m.start() for m in BEFORE_TOKEN.finditer(s)]
+    breaks = [m.start() for m in BEFORE_TOKEN.finditer(s)] if "." in s or "…" in s or "‥" in s else []
     n = len(s)
     last_end = since = 0
     for m in CANDIDATE.finditer(s):
@@ -267,7 +270,7 @@ def places(s: str) -> list[Place]:
             continue
         following = WORD.match(s, k)
         word = following.group() if following else ""
-        p.camel = word[:1].islower() and any(c.isupper() for c in word[1:])
+        p.camel = p.next == "lower" and not word.islower()
         if p.next == "lower" and not p.camel:
             continue  # no sentence begins in lower case
         p.word, p.letters = word.lower() if len(word) <= LONGEST else "", min(len(word), 3)
@@ -313,7 +316,7 @@ def places(s: str) -> list[Place]:
             p.intro = "start" if not c or c in MARKS or c in CLOSERS else "colon" if c in ":：" else "comma" if c in ",，" else "word"
             stop = STOP.search(s, k)  # a clause that ends with a verb of saying
             p.said = stop is not None and stop.start() > k and s[stop.start() - 1] in SAID
-        p.words = min(len(s[since:i].split()), 6)
+        p.words = min(len(s[since:i].split(None, 6)), 6)
         p.greek = mark == ";" and 2 * len(GREEK.findall(s, since, i)) > sum(map(str.isalpha, s[since:i]))
         found.append(p)
         since = e
