@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text as tx
+from lectern.operators.versions import Overtaken, Store
 from lectern.session import materialize
 
 # Weights of the ranking.
@@ -61,6 +62,19 @@ def stored_postings(spark: SparkSession, folder: str, terms: list[str], parts: i
     return spark.read.parquet(folder).where(F.col("part").isin(*at) & F.col("term").isin(*set(terms))).drop("part")
 
 
+def ensure_index(docs: DataFrame, folder: str, signature: str, key: str, fields: list[str]) -> str:
+    """The folder of a stored index of documents whose state has this signature. It is made again if there is none
+    for the signature; one that wasn't finished doesn't count."""
+    store = Store(docs.sparkSession, folder)
+    if f"{signature}.json" not in store.names("valid"):
+        store_index(postings(docs, key, fields), f"{folder}/{signature}", key)
+        try:
+            store.publish(f"valid/{signature}.json", "{}")
+        except Overtaken:  # another writer has finished the same index
+            pass
+    return f"{folder}/{signature}"
+
+
 def hits(found: DataFrame, docs: DataFrame, key: str = "id", size: int = 500) -> DataFrame:
     """Found rows (key, score, matches, ...) with what a result shows: type, kind, sources, section, locator,
     review status, the first ``size`` characters of the body and whether there are more."""
@@ -79,13 +93,15 @@ def eligible(docs: DataFrame, source: str | None = None, section: str | None = N
     return docs
 
 
-def search(docs: DataFrame, term: str, key: str = "id", fields: tuple[str, ...] = ("name", "body", "section"), names: DataFrame | None = None, edges: DataFrame | None = None, allowed: DataFrame | None = None, hubs: DataFrame | None = None) -> DataFrame:
+def search(docs: DataFrame, term: str, key: str = "id", fields: tuple[str, ...] = ("name", "body", "section"), names: DataFrame | None = None, edges: DataFrame | None = None, allowed: DataFrame | None = None, hubs: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """(key, score, matches) of the records that match a term, unordered; with edges or hubs also via, the record
     that led to one.
 
     Every record counts for the frequencies, those in ``allowed`` (default all) can be found. ``names``
     (id, name) gives the name and aliases of knowledge: where one equals the term, the tokens of the
-    others join the query at a lower weight. ``edges`` (a, b) leads on from what was found, one hop."""
+    others join the query at a lower weight. ``edges`` (a, b) leads on from what was found, one hop. ``index``
+    (key, field, term, tf) are the postings of the records, as ``postings`` makes and ``store_index`` keeps them;
+    with them no text is tokenized, and only texts of records that have a term are looked at."""
     spark: SparkSession = docs.sparkSession
     wanted = tx.token_list(term, indexing=False)
     phrase = tx.normal(term)
@@ -104,10 +120,15 @@ def search(docs: DataFrame, term: str, key: str = "id", fields: tuple[str, ...]
         for f in ("name", "body"):
             if f in fields:
                 holds = holds | F.coalesce(tx.normal_form(F.col(f)).contains(phrase), F.lit(False))
-    rows = docs.select(key, *[tx.index_tokens(F.col(f)).alias(f) for f in fields], holds.alias("phrase"))
-    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])
-    rows = rows.select(key, "phrase", F.inline(pairs)).select(key, "phrase", "field", F.explode("terms").alias("term"))
-    hits = materialize(rows.join(small(terms), "term").groupBy(key, "phrase", "field", "term", "factor").agg(F.count("*").alias("tf")), "hits")
+    if index is not None:
+        rows = index.join(small(terms), "term").where(F.col("field").isin(*fields))
+        said = docs.join(rows.select(key).distinct(), key, "left_semi").select(key, holds.alias("phrase"))
+        hits = materialize(rows.join(said, key).select(key, "phrase", "field", "term", "factor", "tf"), "hits")
+    else:
+        rows = docs.select(key, *[tx.index_tokens(F.col(f)).alias(f) for f in fields], holds.alias("phrase"))
+        pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields])
+        rows = rows.select(key, "phrase", F.inline(pairs)).select(key, "phrase", "field", F.explode("terms").alias("term"))
+        hits = materialize(rows.join(small(terms), "term").groupBy(key, "phrase", "field", "term", "factor").agg(F.count("*").alias("tf")), "hits")
     df = hits.select(key, "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("total"))
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])

@@ -111,6 +111,12 @@ def table_rows_context(spark: SparkSession, d: str) -> DataFrame:
     return of.table_rows(of.relation(documents(spark, d), "table_cells"), "T001", 3).where("grid_column = 1").select("source_id", "cell_id")
 
 
+@query(f"""with {PARAS}, s as (select distinct source_id from paras) select source_id, style, chain from s cross join (values ('Plain', 'Plain'), ('Struck', 'Struck'), ('H1', 'H1 > Struck'), ('H2', 'H2 > Plain'), ('H3', 'H3 > Plain'), ('H4', 'H4 > Plain'), ('H5', 'H5 > Plain'), ('H6', 'H6 > Plain')) v(style, chain)""")
+def style_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Styles of text documents with those that they are based on."""
+    return of.relation(documents(spark, d), "styles").where("broken is null").select("source_id", "style", F.array_join("chain", " > ").alias("chain"))
+
+
 @query(f"with {PARAS} select source_id, i::varchar as comment_id, text, paragraph from paras where level is not null")
 def comment_anchor(spark: SparkSession, d: str) -> DataFrame:
     """Comments with the paragraphs that they are anchored to."""
@@ -214,8 +220,8 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return of.gaps(files).select("path")
 
 
-@query("""select distinct doc_id, line_no, line, kind from (select l.*, case when f then 'code' when regexp_matches(line, '^#{1,6}\s+.+$') then 'heading' else 'text' end as kind from (
-  select *, (sum(case when regexp_matches(line, '^\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by line_no) % 2) = 1 as f from lines) l)""".replace("select distinct", f"with {sq.LINES} select distinct", 1))
+@query("""select distinct doc_id, line_no, line, kind from (select l.*, case when f then 'code' when regexp_matches(line, '^#{1,6}\\s+.+$') then 'heading' else 'text' end as kind from (
+  select *, (sum(case when regexp_matches(line, '^\\s*(```|~~~)') then 1 else 0 end) over (partition by doc_id order by line_no) % 2) = 1 as f from lines) l)""".replace("select distinct", f"with {sq.LINES} select distinct", 1))
 def file_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of Markdown files, read from their bytes."""
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("source_id"), F.concat("doc_id", F.lit(".md")).alias("path"), F.lit("markdown").alias("kind"), F.encode("text", "utf-8").alias("content"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import text as tx
 from lectern.operators import index as ix
 from lectern.operators import units as un
 from lectern.plans import sqltext as sq
@@ -111,6 +112,15 @@ def search_all(spark: SparkSession, d: str) -> DataFrame:
     return ix.search(entries(spark, d), TERM).select("id", "score")
 
 
+@query(_ranked(TERM))
+def search_stored(spark: SparkSession, d: str) -> DataFrame:
+    """All records that match a term, from an index that is stored by term."""
+    folder = f"{step_dir(spark)}/index-{uuid.uuid4().hex}"
+    docs = entries(spark, d)
+    ix.store_index(ix.postings(docs, "id", FIELDS), folder, "id")
+    return ix.search(docs, TERM, index=ix.stored_postings(spark, folder, tx.token_list(TERM, False))).select("id", "score")
+
+
 @query(f"select id, score, (select count(*) from ({_ranked(TERM)}) a) as total_hits, case when (select count(*) from ({_ranked(TERM)}) b) > 36 then 36 end as next_offset from ({_ranked(TERM)}) r order by score desc, id limit 12 offset 24")
 def search_page(spark: SparkSession, d: str) -> DataFrame:
     """The third page of results."""

@@ -140,3 +140,15 @@ def test_blocks_hold_whole_lists(spark):
     assert max(len(r["postings"]) for r in blocks) < 40
     assert sorted(p["id"] for r in blocks if r["term"] == "hot" for p in r["postings"]) == list(range(100))
     assert [[tuple(p) for p in r["postings"]] for r in blocks if r["term"] == "rare"] == [[(1, "name", 2)]]
+
+
+def test_an_index_is_made_once_for_a_state(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "page image"), (2, "page")], "id int, body string")
+    folder = f"file://{tmp_path}/index"
+    one = ix.ensure_index(docs, folder, "a", "id", ["body"])
+    assert ix.ensure_index(docs.limit(0), folder, "a", "id", ["body"]) == one
+    got = ix.search(docs, "page image", fields=("body",), index=ix.stored_postings(spark, one, ["page", "image"])).collect()
+    plain = ix.search(docs, "page image", fields=("body",)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, plain)) and len(got) == 2
+    two = ix.ensure_index(docs.where("id = 2"), folder, "b", "id", ["body"])
+    assert two != one and ix.stored_postings(spark, two, ["page", "image"]).count() == 1
